@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SMALL_GROUP_ROWS = 200_000
 # Sketch accuracy for bracketing (relative rank error 1/accuracy).
 SKETCH_ACCURACY = 20_000
+# At most this many heavy groups take the bracketed path (passed as literals).
+HEAVY_KEY_LIMIT = 256
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -36,47 +38,75 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def quantile_stats_aggs(value: str, q: float, prefix: str = "_q") -> list[Column]:
-    """Aggregates to compute alongside other per-group aggregates; feed the result
-    to :func:`resolve_nearest_rank`."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; the right side's key
+    columns are renamed first, so self-derived frames never clash."""
+    ren = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_rk_{k}")) for k in keys])
+    return left.join(ren, cond, how).drop(*[f"_rk_{k}" for k in keys])
+
+
+def heavy_keys(rows: DataFrame, keys: list[str], threshold: int = SMALL_GROUP_ROWS,
+               limit: int = HEAVY_KEY_LIMIT) -> list[tuple]:
+    """Keys holding more than ``threshold`` rows, heaviest first, at most
+    ``limit`` of them (a bounded driver-side list; one partial aggregate).
+    Any key beyond the limit holds at most 1/limit of the rows."""
+    found = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold)
+             .orderBy(F.col("_n").desc()).limit(limit).collect())
+    return [tuple(r[k] for k in keys) for r in found]
+
+
+def _key_in(keys: list[str], values: list[tuple]) -> Column:
+    return F.struct(*[F.col(k) for k in keys]).isin(
+        *[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, t)]) for t in values])
+
+
+def nearest_rank_by_key(rows: DataFrame, keys: list[str], value: str, q: float, out: str,
+                        heavy: list[tuple] | None = None) -> DataFrame:
+    """Exact nearest-rank quantile (element ``floor((n-1)*q + 0.5)`` of the
+    sorted non-null values) per group; one row per group with a non-null key.
+
+    Ordinary groups: one shuffle by key and a single window (count + row_number
+    over the same ordering). Heavy groups (``heavy_keys``, at most
+    HEAVY_KEY_LIMIT, passed as literals — no broadcast of data-sized state):
+    a mergeable sketch brackets rank k within [lo, hi] (relative error
+    1/SKETCH_ACCURACY with a 4x margin), rows below lo are only counted
+    (partial aggregate) and only rows inside the bracket are ranked, so no
+    heavy group is sorted whole in one task.
+    """
+    r = rows.select(*keys, value).where(F.col(value).isNotNull())
+    for k in keys:
+        r = r.where(F.col(k).isNotNull())
+    if heavy is None:
+        heavy = heavy_keys(r, keys)
+    target = F.floor((F.col("_n") - F.lit(1)).cast("double") * F.lit(float(q)) + F.lit(0.5))
+    w = Window.partitionBy(*keys).orderBy(F.col(value)).rowsBetween(Window.unboundedPreceding,
+                                                                   Window.unboundedFollowing)
+    wr = Window.partitionBy(*keys).orderBy(F.col(value))
+    light = r.where(~_key_in(keys, heavy)) if heavy else r
+    picked = (light.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rn", F.row_number().over(wr))
+              .where(F.col("_rn") - 1 == target).select(*keys, F.col(value).alias(out)))
+    if not heavy:
+        return picked
     eps = 1.0 / SKETCH_ACCURACY
     lo_q, hi_q = max(q - 4 * eps, 0.0), min(q + 4 * eps, 1.0)
-    v = F.col(value)
-    return [
-        F.count(v).alias(f"{prefix}_n"),
-        F.percentile_approx(v, F.lit(lo_q), F.lit(SKETCH_ACCURACY)).alias(f"{prefix}_lo"),
-        F.percentile_approx(v, F.lit(hi_q), F.lit(SKETCH_ACCURACY)).alias(f"{prefix}_hi"),
-    ]
-
-
-def resolve_nearest_rank(df: DataFrame, stats: DataFrame, keys: list[str], value: str, q: float, out: str,
-                         prefix: str = "_q") -> DataFrame:
-    """Attach the exact nearest-rank quantile of ``value`` per ``keys`` group to
-    ``stats`` (which carries the aggregates from :func:`quantile_stats_aggs`)."""
-    n, lo, hi = f"{prefix}_n", f"{prefix}_lo", f"{prefix}_hi"
-    target = F.floor((F.col(n) - F.lit(1)).cast("double") * F.lit(float(q)) + F.lit(0.5))
-    bounds = stats.select(*keys, n, lo, hi).withColumn("_k", target)
-    rows = df.select(*keys, value).where(F.col(value).isNotNull())
-    joined = rows.alias("r").join(bounds.alias("b"), _null_safe_on(rows, bounds, keys)).select(
-        *[F.col(f"r.{k}").alias(k) for k in keys], F.col(f"r.{value}").alias(value), n, lo, hi, "_k")
-    small = F.col(n) <= F.lit(SMALL_GROUP_ROWS)
-    below = (joined.where(~small & (F.col(value) < F.col(lo)))
-             .groupBy(*keys).agg(F.count(F.lit(1)).alias("_below")))
-    cand = joined.where(small | F.col(value).between(F.col(lo), F.col(hi)))
-    w = Window.partitionBy(*keys).orderBy(F.col(value))
-    ranked = cand.withColumn("_rn", F.row_number().over(w))
-    ranked = ranked.join(below, _null_safe_on(ranked, below, keys), "left").select(
-        ranked["*"], F.coalesce(below["_below"], F.lit(0)).alias("_below"))
-    picked = ranked.where(F.col("_below") + F.col("_rn") - 1 == F.col("_k")).select(
-        *keys, F.col(value).alias(out))
-    result = stats.join(picked, _null_safe_on(stats, picked, keys), "left").select(
-        stats["*"], picked[out])
-    return result.drop(n, lo, hi)
+    big = r.where(_key_in(keys, heavy))
+    bounds = big.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx(value, F.lit(lo_q), F.lit(SKETCH_ACCURACY)).alias("_lo"),
+        F.percentile_approx(value, F.lit(hi_q), F.lit(SKETCH_ACCURACY)).alias("_hi"))
+    bounds = F.broadcast(bounds.withColumn("_k", target))  # <= HEAVY_KEY_LIMIT rows
+    bj = big.join(bounds, keys)
+    below = F.broadcast(bj.where(F.col(value) < F.col("_lo")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_below")))  # <= HEAVY_KEY_LIMIT rows
+    cand = bj.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).withColumn("_rn", F.row_number().over(wr))
+    cand = cand.join(below, keys, "left").withColumn("_below", F.coalesce(F.col("_below"), F.lit(0)))
+    picked_big = cand.where(F.col("_below") + F.col("_rn") - 1 == F.col("_k")).select(*keys, F.col(value).alias(out))
+    return picked.unionByName(picked_big)
 
 
 def nearest_rank_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
-    stats = df.groupBy(*keys).agg(*quantile_stats_aggs(value, q))
-    return resolve_nearest_rank(df, stats, keys, value, q, out)
+    return nearest_rank_by_key(df, keys, value, q, out)
 
 
 def median_of(*cols: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetwise.functions import dims
-from facetwise.functions.stats import keep_last, quantile_stats_aggs, resolve_nearest_rank
+from facetwise.functions.stats import keep_last, nearest_rank_by_key
 
 MARKET_COLUMNS = ["market_bottom_price", "market_p01_price", "market_stone_id"]
 
@@ -27,16 +27,17 @@ def positive_price(df: DataFrame) -> DataFrame:
 
 
 def market_benchmark(market: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: min price, exact nearest-rank 1st percentile, and the id of the
-    cheapest listing (ties -> smallest id)."""
+    """Per key (every attribute non-null — a null key never matches): min
+    price, exact nearest-rank 1st percentile, and the id of the cheapest
+    listing (ties -> smallest id). Two per-key tables joined on the key."""
     m = positive_price(market).select(*keys, "stone_id", "price")
+    for k in keys:
+        m = m.where(F.col(k).isNotNull())
     stats = m.groupBy(*keys).agg(
         F.min("price").alias("market_bottom_price"),
-        F.min(F.struct("price", "stone_id")).getField("stone_id").alias("market_stone_id"),
-        *quantile_stats_aggs("price", 0.01),
-    )
-    return resolve_nearest_rank(m, stats, keys, "price", 0.01, "market_p01_price").select(
-        *keys, *MARKET_COLUMNS)
+        F.min(F.struct("price", "stone_id")).getField("stone_id").alias("market_stone_id"))
+    p01 = nearest_rank_by_key(m, keys, "price", 0.01, "market_p01_price")
+    return stats.join(p01, keys, "left").select(*keys, *MARKET_COLUMNS)
 
 
 def exact_match(inventory: DataFrame, market: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     # market benchmark per 10-attribute key
     "bench_stats": (["market"], f"""SELECT {MK}, min(price) AS market_bottom_price,
     min({{'p': price, 'i': stone_id}}).i AS market_stone_id
-  FROM market WHERE price > 0 GROUP BY {MK}"""),
+  FROM market WHERE price > 0 AND {' AND '.join(k + ' IS NOT NULL' for k in dims.MATCH_KEYS)} GROUP BY {MK}"""),
     "bench_q": (["market"], f"""SELECT {MK}, price AS market_p01_price FROM (
     SELECT {MK}, price, row_number() OVER (PARTITION BY {MK} ORDER BY price) AS rn,
       count(*) OVER (PARTITION BY {MK}) AS n

@@ -63,13 +63,15 @@ def _stone_lines(spark: SparkSession, sf_dir: str, flag: str, with_supplier: boo
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size", "p_retailprice"])
     df = li.join(part, li.l_partkey == part.p_partkey)
     if with_supplier:
+        # left-deep from the fact side: each dimension is a scan whose size the
+        # planner knows, so small ones broadcast statically and large ones
+        # (supplier at big scale factors) fall back to a shuffle join.
         supp = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
         nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
         region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-        geo = (supp.join(nation, supp.s_nationkey == nation.n_nationkey)
-               .join(region, nation.n_regionkey == region.r_regionkey)
-               .select("s_suppkey", "r_name"))
-        df = df.join(geo, df.l_suppkey == geo.s_suppkey)
+        df = (df.join(supp, df.l_suppkey == supp.s_suppkey)
+              .join(nation, F.col("s_nationkey") == nation.n_nationkey)
+              .join(region, F.col("n_regionkey") == region.r_regionkey))
     return df
 
 
