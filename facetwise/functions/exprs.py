@@ -65,9 +65,9 @@ def parse_date(c: Column | str, dtype: str = "string") -> Column:
     if dtype.startswith("timestamp"):
         return F.to_date(c)
     s = F.trim(c.cast("string"))
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")))
-    dmy = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(s, F.lit("d/M/yyyy")))
-    mdy = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(s, F.lit("M/d/yyyy")))
+    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
+    dmy = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(s, "d/M/yyyy"))
+    mdy = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(s, "M/d/yyyy"))
     return F.coalesce(iso, dmy, mdy)
 
 

@@ -22,4 +22,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # importing the modules registers their queries
-    from facetwise.plans import q_core, q_sales  # noqa: F401
+    from facetwise.plans import q_core  # noqa: F401
+    from facetwise.plans import q_sales  # noqa: F401
+    from facetwise.plans import q_canon  # noqa: F401

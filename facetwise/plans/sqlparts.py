@@ -46,8 +46,8 @@ def size_range(e: str) -> str:
 
 
 def price_band(e: str) -> str:
-    return (f"(CASE WHEN {e} IS NULL THEN NULL WHEN {e} < 20 THEN -0.02 WHEN {e} < 40 THEN -0.01 WHEN {e} < 60 "
-            f"THEN 0.0 WHEN {e} < 80 THEN 0.01 WHEN {e} < 100 THEN 0.02 ELSE 0.03 END)")
+    return (f"CAST(CASE WHEN {e} IS NULL THEN NULL WHEN {e} < 20 THEN -0.02 WHEN {e} < 40 THEN -0.01 WHEN {e} < 60 "
+            f"THEN 0.0 WHEN {e} < 80 THEN 0.01 WHEN {e} < 100 THEN 0.02 ELSE 0.03 END AS DOUBLE)")
 
 
 def clean_number(e: str) -> str:
