@@ -25,3 +25,4 @@ def load_all() -> None:
     from facetwise.plans import q_core  # noqa: F401
     from facetwise.plans import q_sales  # noqa: F401
     from facetwise.plans import q_canon  # noqa: F401
+    from facetwise.plans import fixtures, q_stone  # noqa: F401
