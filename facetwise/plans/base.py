@@ -8,29 +8,52 @@ from pyspark.sql import functions as F
 from facetwise.operators import matching, selling
 from facetwise.sources import feeds
 from facetwise.sources.ingest import canonical_listings, resolve_sales
+from facetwise.sources.snapshots import snapshot
 
 SRC_COLS = ["src_part", "src_supp", "src_line", "src_amount", "src_disc", "src_tax"]
 TIEBREAK = ["stone_id", "price", *[c for c in SRC_COLS if c != "src_line"]]
 
 
-def market(spark: SparkSession, d: str) -> DataFrame:
+def build_market(spark: SparkSession, d: str) -> DataFrame:
     return canonical_listings(feeds.market_feed(spark, d), "market")
 
 
-def inventory(spark: SparkSession, d: str) -> DataFrame:
+def build_inventory(spark: SparkSession, d: str) -> DataFrame:
     return canonical_listings(feeds.inventory_feed(spark, d), "inventory")
 
 
-def sales(spark: SparkSession, d: str) -> DataFrame:
+def build_sales(spark: SparkSession, d: str) -> DataFrame:
     return resolve_sales(feeds.sales_feed(spark, d))
 
 
-def matched(spark: SparkSession, d: str) -> DataFrame:
+def market(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical market listings (snapshot)."""
+    return snapshot(spark, d, "market", build_market)
+
+
+def inventory(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot(spark, d, "inventory", build_inventory)
+
+
+def sales(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot(spark, d, "sales", build_sales)
+
+
+def compute_matched(spark: SparkSession, d: str) -> DataFrame:
     return matching.exact_match(inventory(spark, d), market(spark, d))
 
 
-def selling_rows(spark: SparkSession, d: str, config: dict | None = None) -> DataFrame:
-    return selling.selling_intelligence(matched(spark, d), config)
+def compute_selling(spark: SparkSession, d: str, config: dict | None = None) -> DataFrame:
+    return selling.selling_intelligence(compute_matched(spark, d), config)
+
+
+def matched(spark: SparkSession, d: str) -> DataFrame:
+    """Matched stock with selling intelligence (the matched snapshot)."""
+    return snapshot(spark, d, "matched", lambda s, x: compute_selling(s, x))
+
+
+def selling_rows(spark: SparkSession, d: str) -> DataFrame:
+    return matched(spark, d)
 
 
 STONE_COLS = ["stone_id", "shape", "carat", "color", "clarity", "cut", "polish", "symmetry", "fluorescence", "lab",

@@ -21,6 +21,11 @@ def _sell_through(sold, stock):
 
 
 def evidence(spark, d) -> DataFrame:
+    from facetwise.sources.snapshots import snapshot
+    return snapshot(spark, d, "evidence", build_evidence)
+
+
+def build_evidence(spark, d) -> DataFrame:
     from facetwise.operators.sales import dedupe_sales
     m = base.market(spark, d).where((F.col("price") > 0) & (F.col("carat") > 0))
     for k in EV_KEYS:

@@ -83,7 +83,7 @@ def market_benchmark(spark, d):
 
 @register("exact_match", S.with_ctes(f"SELECT {', '.join(MATCHED_COLS)} FROM matched", "matched"))
 def exact_match(spark, d):
-    return base.project(base.matched(spark, d), MATCHED_COLS)
+    return base.project(base.compute_matched(spark, d), MATCHED_COLS)
 
 
 @register("unmatched_inventory", S.with_ctes(
@@ -95,7 +95,7 @@ def unmatched_inventory(spark, d):
 
 @register("selling_intelligence", S.with_ctes(f"SELECT {', '.join(SELL_COLS)} FROM selling", "selling"))
 def selling_intelligence(spark, d):
-    return base.project(base.selling_rows(spark, d), SELL_COLS)
+    return base.project(base.compute_selling(spark, d), SELL_COLS)
 
 
 BOARD_COLS = ["board", "rank", "stone_id", "shape", "carat", "color", "clarity", "price", "market_bottom_price",
@@ -119,7 +119,7 @@ def _boards_sql() -> str:
 
 @register("leaderboards", _boards_sql())
 def leaderboards(spark, d):
-    return selling.leaderboards(base.selling_rows(spark, d), 10, base.TIEBREAK).select(*BOARD_COLS)
+    return selling.leaderboards(base.compute_selling(spark, d), 10, base.TIEBREAK).select(*BOARD_COLS)
 
 
 @register("kpi_summary", S.with_ctes(f"""SELECT count(*) AS total_inventory, count(market_bottom_price) AS total_matches,
@@ -133,4 +133,4 @@ def leaderboards(spark, d):
   {S.rnd('coalesce(avg(competitiveness_score), 0.0)', 1)} AS avg_competitiveness
 FROM selling""", "selling"))
 def kpi_summary(spark, d):
-    return selling.kpi_summary(base.selling_rows(spark, d))
+    return selling.kpi_summary(base.compute_selling(spark, d))

@@ -108,11 +108,11 @@ def label_histograms(spark, d):
 @register("recommendation_search", S.with_ctes(f"""SELECT *, count(*) OVER () AS total FROM (
     SELECT {', '.join(chr(34) + c + chr(34) for c in ENRICHED_COLS)} FROM ev_enriched
     WHERE contains(lower(concat_ws(' ', coalesce("Shape", ''), coalesce("EV_Size_Bucket", ''), coalesce("Color", ''),
-      coalesce("Clarity", ''), coalesce("Recommendation", ''))), 'round') AND "Data_Confidence" = 'Low Confidence') t
+      coalesce("Clarity", ''), coalesce("Recommendation", ''))), 'round')) t
   ORDER BY "Shape", "EV_Size_Bucket", "Color", "Clarity" LIMIT 50 OFFSET 50""", "ev_enriched"))
 def recommendation_search(spark, d):
-    """Search 'round', confidence 'Low Confidence', page 2 of 50."""
-    return EV.recommendation_search(enriched_df(spark, d), "Round", None, "Low Confidence", 2, 50).select(
+    """Search 'round', page 2 of 50."""
+    return EV.recommendation_search(enriched_df(spark, d), "Round", None, None, 2, 50).select(
         *ENRICHED_COLS, "total")
 
 
