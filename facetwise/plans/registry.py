@@ -27,3 +27,4 @@ def load_all() -> None:
     from facetwise.plans import q_canon  # noqa: F401
     from facetwise.plans import fixtures, q_stone  # noqa: F401
     from facetwise.plans import q_decision  # noqa: F401
+    from facetwise.plans import q_matrix  # noqa: F401
