@@ -29,3 +29,4 @@ def load_all() -> None:
     from facetwise.plans import q_decision  # noqa: F401
     from facetwise.plans import q_matrix  # noqa: F401
     from facetwise.plans import q_stream  # noqa: F401
+    from facetwise.plans import q_pairs  # noqa: F401
