@@ -214,3 +214,60 @@ def listing_page(spark, d):
     m = base.market(spark, d).where((F.col("shape") == "ROUND") & (F.col("color") == "G"))
     total = m.select(F.count(F.lit(1))).scalar()
     return m.orderBy("stone_id", *feeds.LISTING_ORDER).offset(25).limit(25).select(*base.STONE_COLS).withColumn("total", total)
+
+
+# ---------------------------------------------------- selling projections
+
+@register("listing_target", S.with_ctes(
+    "SELECT stone_id, price, min_selling_price, market_p01_price, top1_candidate_price, top1_listing_price, top1_status FROM selling",
+    "selling"))
+def listing_target(spark, d):
+    """Top-1% listing target 0.9975 x q01, only when at or above the profit floor."""
+    return base.compute_selling(spark, d).select("stone_id", "price", "min_selling_price", "market_p01_price",
+                                                 "top1_candidate_price", "top1_listing_price", "top1_status")
+
+
+@register("negotiation_range", S.with_ctes("SELECT stone_id, min_selling_price, premium_selling_price, negotiation_range FROM selling",
+                                           "selling"))
+def negotiation_range(spark, d):
+    return base.compute_selling(spark, d).select("stone_id", "min_selling_price", "premium_selling_price",
+                                                 "negotiation_range")
+
+
+@register("recommendation_tiers", S.with_ctes(
+    "SELECT recommendation, stars, action, count(*) AS n FROM selling GROUP BY ALL", "selling"))
+def recommendation_tiers(spark, d):
+    """5-tier recommendation / 3-state action histogram at the default thresholds."""
+    return base.compute_selling(spark, d).groupBy("recommendation", "stars", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fold(col, folds):
+    expr = None
+    for label, members in folds:
+        cond = F.col(col).isin(*members)
+        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
+    return expr.otherwise(F.col(col))
+
+
+COLOR_FOLDS = [("K-M", ["K", "L", "M"])]
+CLARITY_FOLDS = [("FL/IF", ["FL", "IF"]), ("I1-I3", ["I1", "I2", "I3"])]
+
+
+def _fold_sql(col, folds):
+    return "CASE " + " ".join(f"WHEN {col} IN ({', '.join(repr(m) for m in ms)}) THEN '{lbl}'" for lbl, ms in folds) + f" ELSE {col} END"
+
+
+@register("color_distribution", S.with_ctes(f"""SELECT {_fold_sql('color', COLOR_FOLDS)} AS grade, count(*) AS stones,
+    {S.rnd('avg(profit_pct)')} AS avg_margin FROM selling GROUP BY ALL""", "selling"))
+def color_distribution(spark, d):
+    """Count and mean margin per color grade (tail grades K-M folded)."""
+    s = base.matched(spark, d).withColumn("grade", _fold("color", COLOR_FOLDS))
+    return s.groupBy("grade").agg(F.count(F.lit(1)).alias("stones"), rnd(F.avg("profit_pct")).alias("avg_margin"))
+
+
+@register("clarity_distribution", S.with_ctes(f"""SELECT {_fold_sql('clarity', CLARITY_FOLDS)} AS grade, count(*) AS stones,
+    {S.rnd('avg(profit_pct)')} AS avg_margin FROM selling GROUP BY ALL""", "selling"))
+def clarity_distribution(spark, d):
+    """Count and mean margin per clarity grade (FL/IF and I1-I3 folded)."""
+    s = base.matched(spark, d).withColumn("grade", _fold("clarity", CLARITY_FOLDS))
+    return s.groupBy("grade").agg(F.count(F.lit(1)).alias("stones"), rnd(F.avg("profit_pct")).alias("avg_margin"))
