@@ -120,16 +120,6 @@ def matrix_scaffold(spark, d):
     return grid.join(cells, MX.CELL, "left").select(*MX.CELL, F.coalesce(F.col("pieces"), F.lit(0)).alias("pieces"))
 
 
-@register("carat_matrix")
-def carat_matrix(spark, d):
-    return MX.carat_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d)).select(*MX.RANGE_OUT)
-
-
-@register("range_color_matrix")
-def range_color_matrix(spark, d):
-    return MX.range_color_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d)).select(*MX.COLOR_OUT)
-
-
 def cells_df(spark, d):
     return MX.range_color_clarity_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d),
                                          inv_cells(spark, d), mkt_cells(spark, d), cmp_cells(spark, d))
@@ -214,3 +204,86 @@ def matrix_all_shapes(spark, d):
     x = m.withColumn("shape_sel", F.explode(F.array(F.lit("ALL"), F.col("shape"))))
     return x.groupBy("shape_sel", *MX.CELL).agg(F.count(F.lit(1)).alias("pcs"), rnd(F.sum("carat"), 2, True).alias("carats"),
                                                  rnd(F.sum("price"), 2, True).alias("price"))
+
+
+# ------------------------------------------------ SQL oracles for the matrices
+
+def _r2_sql(e: str) -> str:
+    return f"CASE WHEN coalesce(({e}) <> 0, false) THEN {S.rnd(e)} END"
+
+
+def _div(a: str, b: str) -> str:
+    return f"(CASE WHEN {b} <> 0 THEN {a} / {b} END)"
+
+
+S.add("rm0", ["mx_stock", "sales_coh", "mx_q", "ev_ranged"], f"""SELECT sm.ordinal, sm.size_range,
+    coalesce(st.stock_pcs, 0) AS stock_pcs, coalesce(sl.sold_pcs, 0) AS sold, coalesce(st.vm, 0) AS vm,
+    coalesce(q.m_stock, 0) AS ms, coalesce(q.m_sold, 0) AS msold, q.mw, q.mv, q.msw, q.msv,
+    coalesce(e.ev_stock, 0) AS ev_stock, coalesce(e.ev_sold, 0) AS ev_sold
+  FROM {S.size_master_values()}
+  LEFT JOIN (SELECT size_range, sum(pcs) AS stock_pcs, sum(vdb_matches) AS vm FROM mx_stock GROUP BY 1) st ON sm.size_range = st.size_range
+  LEFT JOIN (SELECT size_range, sum(sold_stones) AS sold_pcs FROM sales_coh GROUP BY 1) sl ON sm.size_range = sl.size_range
+  LEFT JOIN (SELECT size_range, sum(pcs) AS m_stock, sum(carats) AS mw, sum(price) AS mv, sum(s_pcs) AS m_sold,
+      sum(s_carats) AS msw, sum(s_value) AS msv FROM mx_q GROUP BY 1) q ON sm.size_range = q.size_range
+  LEFT JOIN (SELECT size_range, sum("EV_Stock") AS ev_stock, sum("EV_Sold") AS ev_sold FROM ev_ranged
+      WHERE size_range IS NOT NULL GROUP BY 1) e ON sm.size_range = e.size_range""")
+S.add("rm1", ["rm0"], f"""SELECT *, CASE WHEN spct IS NOT NULL AND epct IS NOT NULL THEN {S.rnd('spct * 0.6 + epct * 0.4', 1)}
+      WHEN spct IS NOT NULL THEN {S.rnd('spct', 1)} END AS demand FROM (
+  SELECT *, CASE WHEN stock_pcs > 0 THEN sold / stock_pcs * 100 END AS spct,
+    CASE WHEN ev_stock + ev_sold > 0 THEN ev_sold / (ev_stock + ev_sold) * 100 END AS epct,
+    {_div('mv', 'mw')} AS cur, {_div('msv', 'msw')} AS hist, msold >= 5 AND ms > 0 AS sufficient,
+    CASE WHEN ms > 0 THEN msold / ms * 100 END AS r FROM rm0) t""")
+RM_REC = """CASE WHEN NOT sufficient THEN 'Insufficient historical sales data'
+      WHEN r < 20 AND ms >= msold THEN 'Liquidate / reduce 5%' WHEN r < 40 THEN 'Promote / reduce 2%'
+      WHEN r > 80 AND ms < msold THEN 'Stock more / hold price' WHEN coalesce(demand, 0.0) >= 60 THEN 'Hold price'
+      ELSE 'Targeted promotion / reduce 2%' END"""
+RM_FACTOR = """CASE WHEN NOT sufficient THEN NULL WHEN r < 20 AND ms >= msold THEN 0.95 WHEN r < 40 THEN 0.98
+      WHEN r > 80 AND ms < msold THEN 1.0 WHEN coalesce(demand, 0.0) >= 60 THEN 1.0 ELSE 0.98 END"""
+FLAGS = [("Inventory", "stock_pcs > 0"), ("Own sales", "sold > 0"), ("Market", "vm > 0"), ("Evidence", "epct IS NOT NULL")]
+AVAIL = "concat_ws(', ', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in FLAGS) + ")"
+MISSING = "concat_ws(', ', " + ", ".join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, c in FLAGS) + ")"
+
+
+@register("carat_matrix", S.with_ctes(f"""SELECT size_range, CAST(stock_pcs AS BIGINT) AS total_stock, CAST(sold AS BIGINT) AS total_sold,
+    {S.rnd('spct', 1)} AS sales_pct, {S.rnd('100.0 - spct', 1)} AS stock_pct,
+    CASE WHEN stock_pcs > 0 THEN {S.rnd('vm / stock_pcs * 100', 1)} END AS vdb_sold_pct, {S.rnd('epct', 1)} AS ev_sold_pct,
+    demand AS demand_score, CASE WHEN demand IS NOT NULL THEN {S.rnd('100.0 - demand', 1)} END AS inventory_risk_score,
+    {_r2_sql('cur')} AS current_price, {_r2_sql('hist')} AS historical_selling_price,
+    {_r2_sql(f'cur * ({RM_FACTOR})')} AS suggested_price, demand AS clearance_score, {RM_REC} AS recommendation,
+    CASE WHEN sufficient AND vm > 0 AND epct IS NOT NULL THEN 'High - all compatible sources'
+      WHEN sufficient THEN 'Medium - compatible stock and own sales' ELSE 'Price action withheld' END AS confidence,
+    CASE WHEN {AVAIL} = '' THEN 'No source data' ELSE {AVAIL} END AS available_data,
+    CASE WHEN {MISSING} = '' THEN 'None' ELSE {MISSING} END AS missing_data,
+    CASE WHEN {MISSING} = '' THEN 'Complete' WHEN {AVAIL} <> '' THEN 'Partial' ELSE 'No data' END AS data_coverage,
+    format('{{:,}}', CAST(ms AS BIGINT)) || ' stock / ' || format('{{:,}}', CAST(msold AS BIGINT))
+      || ' sales matched by Size + Shape + Color + Clarity' AS price_match_basis
+  FROM rm1""", "rm1"))
+def carat_matrix(spark, d):
+    return MX.carat_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d)).select(*MX.RANGE_OUT)
+
+
+COLS4 = "(VALUES " + ", ".join(f"('{c}')" for c in dims.MATRIX_COLORS) + ") AS co(color)"
+S.add("cm0", ["mx_stock", "sales_coh", "mx_q", "ev_ranged"], f"""SELECT g.size_range, g.color,
+    coalesce(st.stock, 0) AS stock, coalesce(sl.sold, 0) AS sold, coalesce(q.m_stock, 0) AS ms, coalesce(q.m_sold, 0) AS msold,
+    q.mw, q.mv, coalesce(e.ev_stock, 0) AS ev_stock, coalesce(e.ev_sold, 0) AS ev_sold
+  FROM (SELECT sm.size_range, co.color FROM {S.size_master_values()} CROSS JOIN {COLS4}) g
+  LEFT JOIN (SELECT size_range, color, sum(pcs) AS stock FROM mx_stock GROUP BY 1, 2) st ON g.size_range = st.size_range AND g.color = st.color
+  LEFT JOIN (SELECT size_range, color, sum(sold_stones) AS sold FROM sales_coh GROUP BY 1, 2) sl ON g.size_range = sl.size_range AND g.color = sl.color
+  LEFT JOIN (SELECT size_range, color, sum(pcs) AS m_stock, sum(carats) AS mw, sum(price) AS mv, sum(s_pcs) AS m_sold FROM mx_q GROUP BY 1, 2) q
+    ON g.size_range = q.size_range AND g.color = q.color
+  LEFT JOIN (SELECT size_range, "Color" AS color, sum("EV_Stock") AS ev_stock, sum("EV_Sold") AS ev_sold FROM ev_ranged
+      WHERE size_range IS NOT NULL GROUP BY 1, 2) e ON g.size_range = e.size_range AND g.color = e.color""")
+S.add("cm1", ["cm0"], f"""SELECT *, CASE WHEN stock > 0 THEN sold / stock * 100 END AS spct,
+    CASE WHEN ev_stock + ev_sold > 0 THEN ev_sold / (ev_stock + ev_sold) * 100 END AS epct,
+    {_div('mv', 'mw')} AS cur, CASE WHEN ms > 0 THEN msold / ms * 100 END AS pp FROM cm0""")
+CM_REC = """CASE WHEN cur IS NULL OR msold < 5 THEN 'Insufficient sales history' WHEN pp < 20 AND ms >= msold THEN 'Reduce 5%'
+      WHEN pp < 40 THEN 'Reduce 2%' WHEN pp > 80 AND ms < msold THEN 'Stock more / hold' ELSE 'Hold price' END"""
+CM_FACTOR = """CASE WHEN cur IS NULL OR msold < 5 THEN NULL WHEN pp < 20 AND ms >= msold THEN 0.95 WHEN pp < 40 THEN 0.98 ELSE 1.0 END"""
+
+
+@register("range_color_matrix", S.with_ctes(f"""SELECT size_range, color, CAST(stock AS BIGINT) AS stock, CAST(sold AS BIGINT) AS sold,
+    {S.rnd('spct', 1)} AS sales_pct, CASE WHEN spct IS NOT NULL AND epct IS NOT NULL THEN {S.rnd('spct * 0.6 + epct * 0.4', 1)} END AS demand_score,
+    {_r2_sql('cur')} AS current_price, {_r2_sql(f'cur * ({CM_FACTOR})')} AS suggested_price, {CM_REC} AS recommendation,
+    CAST(ms AS BIGINT) AS matched_stock, CAST(msold AS BIGINT) AS matched_sales FROM cm1""", "cm1"))
+def range_color_matrix(spark, d):
+    return MX.range_color_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d)).select(*MX.COLOR_OUT)
