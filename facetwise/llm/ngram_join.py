@@ -10,10 +10,11 @@ whole sequence is one shingle). Two documents link when their sets' Jaccard simi
   nodes of a shingle. The order is rarest first (frequency classes from a sketch of fixed
   size over all documents, then hash), so passages that very many documents share come
   last.
-* Each node is first compared with one partner, the smallest node of the cells it shares
-  most; this joins most nodes of a group of copies without comparing them all with each
-  other. Links inside a component cannot change it, so afterwards only cells that span
-  components are searched, and only for pairs across them.
+* Each node is first verified against one partner, the smallest node of the cells it
+  shares most, then in ``ROUNDS`` rounds against its best partner of another component;
+  this joins most nodes of a group of copies without comparing them all with each other.
+  Links inside a component cannot change it, so afterwards only cells that span
+  components are searched, and only for pairs across them: all of those.
 * There, shingles are hashed into ``GROUPS`` groups; a node's group counts are its point.
   The points of a cell are packed into an R-tree, and pairs of nodes, then points, are
   cut off when the sum of their coordinate minima cannot reach the overlap needed. Cells
@@ -38,6 +39,9 @@ from facetwise.llm.tables import components, id_and_text, written
 SHINGLE = 5
 GROUPS = 128
 CELL_ROWS = 4096
+#: Rounds in which each node is verified against its best partner only, before all
+#: remaining pairs are; they change the work, never the result.
+ROUNDS = 2
 FANOUT = 16
 #: Counters of the frequency sketch: 2 ** SKETCH_BITS, handled in slices.
 SKETCH_BITS = 20
@@ -46,6 +50,7 @@ _SLICE = 1024
 _ROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("d2", pa.int64()), ("point", pa.binary())])
 _PREFIX = pa.schema([("token", pa.int64()), ("node", pa.int64())])
 _TEXT = pa.schema([("node", pa.int64()), ("z", pa.binary())])
+_BEST = pa.schema([("node", pa.int64()), ("partner", pa.int64()), ("score", pa.float64())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -256,7 +261,9 @@ class Forest:
         return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (top[:0], top[:0])
 
 
-def _search(t: pa.Table, groups: int) -> pa.RecordBatch:
+def _search(t: pa.Table, groups: int, best: bool) -> pa.RecordBatch:
+    """Pairs of a cell's nodes that may link and are of different components, smaller node
+    first; or (``best``) for each node only the partner whose bound is highest over need."""
     column = lambda name: t.column(name).to_numpy()
     cell, n = column("cell"), column("n")
     order = np.lexsort([n, cell])
@@ -264,11 +271,21 @@ def _search(t: pa.Table, groups: int) -> pa.RecordBatch:
     points = _points(t.column("point").combine_chunks(), groups)[order]
     # side 1 and 2: the two blocks of a pair, which are only searched against each other; 0: the cell itself
     a, b = Forest(cell, n, points).pairs(lambda x, y: (root[x] != root[y]) & ((side[x] == 0) | (side[x] != side[y])))
-    pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
-    return K.batch_of(_PAIR, a=pairs[:, 0], b=pairs[:, 1])
-
-
-def _trees(groups: int, limit: int = 8192):
+    if not best:
+        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
+        return K.batch_of(_PAIR, a=pairs[:, 0], b=pairs[:, 1])
+    score = np.empty(len(a))
+    for at in range(0, len(a), 16384):
+        x, y = a[at:at + 16384], b[at:at + 16384]
+        score[at:at + 16384] = np.minimum(points[x], points[y]).sum(1) / needed(n[x], n[y])
+    own, other, score = node[np.append(a, b)], node[np.append(b, a)], np.append(score, score)
+    order = np.lexsort([other, -score, own])
+    own, other, score = own[order], other[order], score[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else order
+    return K.batch_of(_BEST, node=own[first], partner=other[first], score=score[first])
+
+
+def _trees(groups: int, best: bool, limit: int = 8192):
     """Cells come sorted; whole cells are searched together up to ``limit`` rows."""
     def run(batches):
         held, count = [], 0
@@ -283,23 +300,38 @@ def _trees(groups: int, limit: int = 8192):
                 cell = t.column("cell").to_numpy()
                 cut = int(np.searchsorted(cell, cell[-1]))
                 if cut:
-                    yield _search(t.slice(0, cut), groups)
+                    yield _search(t.slice(0, cut), groups, best)
                 held, count = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
         if count:
-            yield _search(pa.Table.from_batches(held).combine_chunks(), groups)
+            yield _search(pa.Table.from_batches(held).combine_chunks(), groups, best)
     return run
 
 
-def _links(spark: SparkSession, packed: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    pairs = written(spark, pairs, "ngram-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = written(spark, packed.join(ends, "node").dropDuplicates(["node"]), "ngram-texts")
+def _links(spark: SparkSession, texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     both = (pairs.join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
             .join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb"))
     return written(spark, both.mapInArrow(_verify(shingle), "a bigint, b bigint"), "ngram-links")
 
 
-def ngram_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def _open_members(spark: SparkSession, cells: DataFrame, nodes: DataFrame, roots: DataFrame, cell_rows: int) -> DataFrame:
+    """Members of the cells that span components, with their points, dealt out by cell."""
+    named = cells.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+    named = written(spark, named, "ngram-named")
+    key = F.xxhash64("node")
+    split = (named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.sum(key.cast("decimal(20,0)")).alias("sum"), F.bit_xor(key).alias("xor"))
+             .where("lo < hi"))
+    split = split.groupBy("size", "sum", "xor").agg(F.min("token").alias("token"))  # cells of the same nodes: one
+    part = named.join(split.select("token", "size"), "token").withColumn("n_blocks", F.ceil(F.col("size") * 2 / cell_rows))
+    part = part.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks")))
+    small = part.where(F.col("size") <= cell_rows).select(F.xxhash64("token").alias("cell"), "node", "root", F.lit(0).alias("side"))
+    large = part.where(F.col("size") > cell_rows).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    large = large.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node", "root",
+                         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
+    members = small.unionByName(large).join(nodes.select("node", "n", "point"), "node").select("cell", "node", "root", "side", "n", "point")
+    return members.repartition("cell").sortWithinPartitions("cell")
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, groups: int = GROUPS, cell_rows: int = CELL_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, node (the set's id; 64 bits
     of its digest), root (the component's smallest node), head (whether the node holds the
     component's smallest doc_id)."""
@@ -313,31 +345,22 @@ def ngram_join(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, gro
     classes = spark.sparkContext.broadcast(frequency_classes(source, shingle).tobytes())
     prefixes = source.mapInArrow(_scan_prefixes(classes, shingle), "token bigint, node bigint").repartition("token")
     shared = prefixes.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token", "lo")
-    cells = written(spark, prefixes.join(shared, "token").select("token", "node", "lo"), "ngram-cells")
+    cells = written(spark, prefixes.join(shared, "token").select("token", "node", "lo").distinct(), "ngram-cells")
+    packed = source.mapInArrow(_pack_texts(shingle), "node bigint, z binary")
+    texts = written(spark, packed.join(cells.select("node").distinct(), "node").dropDuplicates(["node"]), "ngram-texts")
 
     point = lambda df, end: df.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("point").alias(f"p{end}")), end)
     votes = cells.where("node <> lo").groupBy("node", "lo").count()
     partner = votes.groupBy("node").agg(F.max(F.struct("count", "lo"))["lo"].alias("a")).select("a", F.col("node").alias("b"))
     first = point(point(partner, "a"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded(groups), "a bigint, b bigint")
-    packed = source.mapInArrow(_pack_texts(shingle), "node bigint, z binary")
-    links = _links(spark, packed, first, shingle)
-    roots = components(spark, links, "ngram")
-
-    named = cells.select("token", "node").distinct().join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    named = written(spark, named, "ngram-named")
-    split = (named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor"))
-             .where("lo < hi"))
-    split = split.groupBy("size", "sum", "xor").agg(F.min("token").alias("token"))  # cells of the same nodes: one
-    open_cells = named.join(split.select("token", "size"), "token")
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_blocks"))
-    open_cells = open_cells.withColumn("n_blocks", F.ceil(F.col("size") * 2 / cell_rows)).withColumn("block", block)
-    small = open_cells.where(F.col("size") <= cell_rows).select(F.xxhash64("token").alias("cell"), "node", "root", F.lit(0).alias("side"))
-    large = open_cells.where(F.col("size") > cell_rows).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    large = large.select(F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "node", "root",
-                         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-    members = small.unionByName(large).join(nodes.select("node", "n", "point"), "node").select("cell", "node", "root", "side", "n", "point")
-    more = members.repartition("cell").sortWithinPartitions("cell").mapInArrow(_trees(groups), "a bigint, b bigint").distinct()
-    links = links.unionByName(_links(spark, packed, more, shingle))
+    links = _links(spark, texts, first, shingle)
+    cells = cells.select("token", "node")
+    for _ in range(rounds):
+        members = _open_members(spark, cells, nodes, components(spark, links, "ngram"), cell_rows)
+        best = members.mapInArrow(_trees(groups, True), "node bigint, partner bigint, score double").groupBy("node").agg(F.max(F.struct("score", "partner"))["partner"].alias("p"))
+        links = links.unionByName(_links(spark, texts, best.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct(), shingle))
+    members = _open_members(spark, cells, nodes, components(spark, links, "ngram"), cell_rows)
+    links = links.unionByName(_links(spark, texts, members.mapInArrow(_trees(groups, False), "a bigint, b bigint").distinct(), shingle))
     roots = components(spark, links, "ngram")
 
     joined = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
