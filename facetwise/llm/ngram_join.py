@@ -37,7 +37,7 @@ from facetwise.llm import textkit as K
 from facetwise.llm.tables import components, id_and_text, written
 
 SHINGLE = 5
-GROUPS = 128
+GROUPS = 512
 CELL_ROWS = 4096
 #: Rounds in which each node is verified against its best partner only, before all
 #: remaining pairs are; they change the work, never the result.
@@ -123,7 +123,7 @@ def _scan_rows(shingle: int, groups: int):
         for rows, texts in K.slices(batches):
             sets = _sets(texts, shingle)
             node, d2 = K.digests([s.tobytes() for s in sets])
-            points = [np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups).astype("<i4").tobytes() for s in sets]
+            points = [_packed_point(np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups)) for s in sets]
             yield K.batch_of(_ROW, doc_id=rows.column(0), n=[len(s) for s in sets], node=node, d2=d2, point=points)
     return run
 
@@ -186,9 +186,21 @@ def _verify(shingle: int):
     return run
 
 
-def _points(column: pa.Array, groups: int) -> np.ndarray:
+def _packed_point(counts: np.ndarray) -> bytes:
+    """Group counts as bytes, then what is above 255 in all groups together."""
+    low = np.minimum(counts, 255)
+    return low.astype(np.uint8).tobytes() + int((counts - low).sum()).to_bytes(4, "little")
+
+
+def _points(column: pa.Array, groups: int) -> tuple[np.ndarray, np.ndarray]:
     raw, _ = K.buffer_of(column.cast(pa.large_binary()))
-    return np.frombuffer(raw.tobytes(), "<i4").reshape(-1, groups)
+    both = np.frombuffer(raw.tobytes(), np.uint8).reshape(-1, groups + 4)
+    return both[:, :groups], np.ascontiguousarray(both[:, groups:]).view("<u4").ravel().astype(np.int64)
+
+
+def _bound(a: tuple[np.ndarray, np.ndarray], i, b: tuple[np.ndarray, np.ndarray], j) -> np.ndarray:
+    """Most shingles that points i of a and j of b can share: summed coordinate minima."""
+    return np.minimum(a[0][i], b[0][j]).sum(1, dtype=np.int64) + np.minimum(a[1][i], b[1][j])
 
 
 def _bounded(groups: int):
@@ -196,7 +208,7 @@ def _bounded(groups: int):
     def run(batches):
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            most = np.minimum(_points(batch.column("pa"), groups), _points(batch.column("pb"), groups)).sum(1)
+            most = _bound(_points(batch.column("pa"), groups), slice(None), _points(batch.column("pb"), groups), slice(None))
             yield batch.select(["a", "b"]).filter(pa.array(most >= needed(na, nb)))
     return run
 
@@ -205,7 +217,7 @@ class Forest:
     """One R-tree for each group of points, packed bottom up in order of set size; level 0
     are the points, a node of a higher level holds up to FANOUT of the level below."""
 
-    def __init__(self, group: np.ndarray, n: np.ndarray, points: np.ndarray):
+    def __init__(self, group: np.ndarray, n: np.ndarray, points: tuple[np.ndarray, np.ndarray]):
         self.high, self.n_low, self.n_high, self.child = [points], [n], [n], [None]
         while True:
             first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -213,7 +225,7 @@ class Forest:
             inner = np.arange(len(group)) - np.repeat(first, size)
             begin = np.flatnonzero(inner % FANOUT == 0)
             self.child.append(np.append(begin, len(group)))
-            self.high.append(np.maximum.reduceat(self.high[-1], begin))
+            self.high.append(tuple(np.maximum.reduceat(x, begin) for x in self.high[-1]))
             self.n_low.append(np.minimum.reduceat(self.n_low[-1], begin))
             self.n_high.append(np.maximum.reduceat(self.n_high[-1], begin))
             group = group[begin]
@@ -226,9 +238,9 @@ class Forest:
         a, b = a[ok], b[ok]
         need = needed(low[a], low[b])
         good = np.zeros(len(a), bool)
-        for at in range(0, len(a), 16384):
-            part = slice(at, at + 16384)
-            good[part] = np.minimum(self.high[level][a[part]], self.high[level][b[part]]).sum(1) >= need[part]
+        for at in range(0, len(a), 8192):
+            part = slice(at, at + 8192)
+            good[part] = _bound(self.high[level], a[part], self.high[level], b[part]) >= need[part]
         ok[ok] = good
         return ok
 
@@ -268,16 +280,16 @@ def _search(t: pa.Table, groups: int, best: bool) -> pa.RecordBatch:
     cell, n = column("cell"), column("n")
     order = np.lexsort([n, cell])
     cell, n, node, root, side = cell[order], n[order], column("node")[order], column("root")[order], column("side")[order]
-    points = _points(t.column("point").combine_chunks(), groups)[order]
+    points = tuple(x[order] for x in _points(t.column("point").combine_chunks(), groups))
     # side 1 and 2: the two blocks of a pair, which are only searched against each other; 0: the cell itself
     a, b = Forest(cell, n, points).pairs(lambda x, y: (root[x] != root[y]) & ((side[x] == 0) | (side[x] != side[y])))
     if not best:
         pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1), axis=0)
         return K.batch_of(_PAIR, a=pairs[:, 0], b=pairs[:, 1])
     score = np.empty(len(a))
-    for at in range(0, len(a), 16384):
-        x, y = a[at:at + 16384], b[at:at + 16384]
-        score[at:at + 16384] = np.minimum(points[x], points[y]).sum(1) / needed(n[x], n[y])
+    for at in range(0, len(a), 8192):
+        x, y = a[at:at + 8192], b[at:at + 8192]
+        score[at:at + 8192] = _bound(points, x, points, y) / needed(n[x], n[y])
     own, other, score = node[np.append(a, b)], node[np.append(b, a)], np.append(score, score)
     order = np.lexsort([other, -score, own])
     own, other, score = own[order], other[order], score[order]
