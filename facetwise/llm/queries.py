@@ -1,13 +1,17 @@
 """Registered queries of this folder: ``opN_<name>(spark, sf_dir)`` over whole tables."""
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontaminate, ngram_join, substring_dedup
+from facetwise.llm import decontaminate, ngram_join, piece_codec, substring_dedup, token_output
 from facetwise.llm.tables import documents
 
+#: Where the public tokenizers' files are; a name in it is a parameter of the operators.
+TOKENIZERS = os.environ.get("FACETWISE_TOKENIZERS", "/opt/tokenizers")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,11 +21,21 @@ def query(fn):
     return fn
 
 
+@query
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.piece_codec(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 @query
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(spark, documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(spark, documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
