@@ -10,8 +10,9 @@ it shares with the word before.
 The score of a segmentation is the sum of the model file's piece scores; of equal sums the
 one whose last piece is longest wins, position by position. A character that no piece of
 its own covers costs ``UNKNOWN`` below the lowest score and is encoded as its UTF-8 bytes'
-pieces. (The public model's scores are merge ranks. The library merges greedily by them;
-read as a unigram model, which is what Viterbi decodes, it gives the ids given here.)
+pieces. (The public model's scores are merge ranks, by which the library merges greedily;
+its ids can differ from the best-scoring ones, which Viterbi finds. Either way they decode
+to the same text.)
 
 Decoding joins the pieces' bytes, turns ``▁`` into blanks and drops the first one; it
 restores any text that has no ``▁`` of its own.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontaminate, ngram_join, piece_codec, substring_dedup, token_output
+from facetwise.llm import decontaminate, ngram_join, piece_codec, quality_rules, substring_dedup, token_output
 from facetwise.llm.tables import documents
 
 #: Where the public tokenizers' files are; a name in it is a parameter of the operators.
@@ -42,6 +42,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(spark, documents(spark, sf_dir), benchmark))
 
 
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.quality_rules(spark, documents(spark, sf_dir), labels)
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(spark, documents(spark, sf_dir))
