@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontaminate, ngram_join, piece_codec, quality_rules, substring_dedup, token_output
+from facetwise.llm import decontaminate, language_id, ngram_join, piece_codec, quality_rules, substring_dedup, token_output
 from facetwise.llm.tables import documents
 
 #: Where the public tokenizers' files are; a name in it is a parameter of the operators.
@@ -26,6 +26,11 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_codec(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(spark, documents(spark, sf_dir))
+
+
 @query
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(spark, documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
