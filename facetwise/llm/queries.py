@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontaminate, language_id, ngram_join, piece_codec, quality_rules, substring_dedup, token_output
+from facetwise.llm import decontaminate, language_id, ngram_join, piece_codec, quality_rules, secret_scan, substring_dedup, token_output
 from facetwise.llm.tables import documents
 
 #: Where the public tokenizers' files are; a name in it is a parameter of the operators.
@@ -56,3 +56,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(spark, documents(spark, sf_dir))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secret_scan(spark, documents(spark, sf_dir)))
