@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontaminate, language_id, ngram_join, piece_codec, quality_rules, secret_scan, substring_dedup, token_output
+from facetwise.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec, quality_rules, secret_scan, sharding, substring_dedup, token_output
 from facetwise.llm.tables import documents
 
 #: Where the public tokenizers' files are; a name in it is a parameter of the operators.
@@ -21,6 +21,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(spark, documents(spark, sf_dir))
+
+
 @query
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_codec(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -58,6 +63,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(spark, documents(spark, sf_dir))
 
 
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(spark, documents(spark, sf_dir))
+
+
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(spark, documents(spark, sf_dir)))
