@@ -43,7 +43,9 @@ END_ID = 1
 BLOCK = 1024
 PERCENTILE = 98
 SEGMENT_IDS = 1 << 20
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
+#: Words that one call of the tokenizer gets as one text.
+JOINED_WORDS = 2000
 MAGIC = b"PFR1"
 
 _SEGMENT = "part int, start_in_part bigint, n_ids bigint, blob binary"
@@ -174,16 +176,17 @@ def _learn(words: list[str], table: dict[str, bytes], tokenizer, ends: np.ndarra
         else:
             odd.append(w)
     todo = [w for w in plain if w not in table]
-    if todo:
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(todo)], add_special_tokens=False)[0].ids, "<u4")
+    for k in range(0, len(todo), JOINED_WORDS):
+        part = todo[k:k + JOINED_WORDS]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
         cut = np.flatnonzero(ends[ids]) + 1
-        if len(cut) == len(todo):
+        if len(cut) == len(part):
             raw, at = ids.tobytes(), 0
-            for w, end in zip(todo, (4 * cut).tolist()):
+            for w, end in zip(part, (4 * cut).tolist()):
                 table[w] = raw[at:end]
                 at = end
         else:
-            odd += todo
+            odd += part
     for w, e in zip(odd, tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
         table[w] = np.array(e.ids, "<u4").tobytes()
     for mark in (".", ","):
