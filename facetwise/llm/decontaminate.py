@@ -274,7 +274,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
         schema = T.StructType([f for f in base.schema if f.name != "text"] + found.fields + more)
         return base.mapInArrow(_scan(spark.sparkContext.broadcast(vars(first)), cleaned), schema)
 
-    tagged = with_row_id(spark, docs, "_row_id").select("_row_id", F.col("text").cast("string").alias("text"))
+    full = with_row_id(spark, docs, "_row_id")
+    tagged = full.select("_row_id", full["text"].cast("string").alias("text"))
     tables = []
     for block in (b for part in ((first, second), blocks) for b in part):
         schema = T.StructType([f for f in tagged.schema if f.name != "text"] + found.fields)
@@ -287,7 +288,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     merge = F.udf(_joined_udf, _SPANS)
     merged = (union.groupBy("_row_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
               .select("_row_id", "n_words", merge("s", "n_words").alias("spans"), "items"))
-    full = with_row_id(spark, docs, "_row_id")
     full = full.select("_row_id", full["doc_id"].cast("long").alias("doc_id"), full["text"].cast("string").alias("text"), whole if not cleaned else F.struct(*[full[c] for c in docs.columns]).alias("row"))
     out = full.join(merged, "_row_id").drop("_row_id")
     if not cleaned:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from facetwise.llm.tables import written
 
 SHARDS = 24
-ROUNDS = 4
+ROUNDS = 8
 BUCKETS = 1024
 
 
@@ -72,11 +72,13 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
         used = _counts(settled, shards) if settled is not None else [0] * shards
         room = [c - u for c, u in zip(cap, used)]
         votes = state.groupBy("unit", "shard").agg(F.count("*").alias("votes"))
-        # a full shard's votes do not count; a unit without any vote asks for the emptiest shard
-        best = F.struct(F.when(_by_shard(room) > 0, F.col("votes")).otherwise(0).alias("votes"), F.xxhash64("unit", "shard").alias("tie"), "shard")
-        asked = votes.groupBy("unit").agg(F.max(best).alias("best"), F.sum("votes").alias("members"))
+        votes = votes.join(votes.groupBy("unit").agg(F.sum("votes").alias("members")), "unit")
+        # votes for a shard without room for the unit do not count; a unit without any vote asks for the emptiest shard
+        best = F.struct(F.when(_by_shard(room) >= F.col("members"), F.col("votes")).otherwise(0).alias("votes"), F.xxhash64("unit", "shard").alias("tie"), "shard")
+        asked = votes.groupBy("unit").agg(F.max(best).alias("best"), F.max("members").alias("members"))
         widest = max(range(shards), key=lambda s: (room[s], -s))
         asked = asked.select("unit", "members", F.when(F.col("best.votes") > 0, F.col("best.shard")).otherwise(widest).alias("shard"))
+        asked = asked.where(F.col("members") <= _by_shard(room))  # else it would stand in the way of smaller ones
         ranked = _before(asked.withColumn("order", F.xxhash64("unit", F.lit("unit"))), "shard", "order", F.col("members"), "ahead")
         moves = ranked.where(F.col("ahead") + F.col("members") <= _by_shard(room)).select("unit", F.col("shard").alias("to"))
         moved = written(spark, state.join(moves, "unit", "left"), "shard-state")
