@@ -55,10 +55,10 @@ def stone_sell_through(selling: DataFrame, sales_cohorts: DataFrame, ev_rates: D
               .when(F.col("_adj") > 0, F.concat(F.lit("Increase price "), move, F.lit("%")))
               .otherwise(F.lit("Hold price")))
     pct1 = rnd(F.col("_pct"), 1)
-    recommendation = (F.when(F.col("_tr").isNull(), F.lit("No current per-carat price is available for the sold-% band."))
-                      .otherwise(F.format_string("Sold %% %.1f%% applies the %s%d%% price band.", pct1,
-                                                 F.when(F.col("_adj") > 0, F.lit("+")).otherwise(F.lit("")),
-                                                 rnd(F.col("_adj") * 100, 0).cast("int"))))
+    band = F.concat(F.when(F.col("_adj") > 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%d", rnd(F.col("_adj") * 100, 0).cast("int")))
+    recommendation = (F.when(F.col("_tr").isNull(), F.lit("no_rate"))
+                      .when(F.col("_adj") == 0, F.format_string("sold_%.1f_hold", pct1))
+                      .otherwise(F.format_string("sold_%.1f_band_%s", pct1, band)))
     gap = F.when(truthy(F.col("_cr")) & truthy(F.col("_vr")), (F.col("_cr") - F.col("_vr")) / F.col("_vr") * 100)
     return j.select(
         "stone_id", rnd(F.col("_carat"), 2).alias("carat"), "shape", "size_range", "color", "clarity",

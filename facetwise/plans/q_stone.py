@@ -162,8 +162,8 @@ S.add("stones", ["st3"], f"""SELECT stone_id, {S.rnd('carat_')} AS carat, shape,
       WHEN adj_ < 0 THEN 'Reduce price ' || printf('%d', CAST({S.rnd('abs(adj_) * 100', 0)} AS INTEGER)) || '%'
       WHEN adj_ > 0 THEN 'Increase price ' || printf('%d', CAST({S.rnd('abs(adj_) * 100', 0)} AS INTEGER)) || '%'
       ELSE 'Hold price' END AS action,
-    CASE WHEN tr_ IS NULL THEN 'No current per-carat price is available for the sold-% band.'
-      ELSE printf('Sold %% %.1f%% applies the %s%d%% price band.', {S.rnd('pct_', 1)}, CASE WHEN adj_ > 0 THEN '+' ELSE '' END,
+    CASE WHEN tr_ IS NULL THEN 'no_rate' WHEN adj_ = 0 THEN printf('sold_%.1f_hold', {S.rnd('pct_', 1)})
+      ELSE printf('sold_%.1f_band_%s%d', {S.rnd('pct_', 1)}, CASE WHEN adj_ > 0 THEN '+' ELSE '' END,
         CAST({S.rnd('adj_ * 100', 0)} AS INTEGER)) END AS recommendation,
     {tr('top1_listing_price')} AS top_1pct_target, price, src_part, src_supp, src_amount, src_disc, src_tax
   FROM st3""")
