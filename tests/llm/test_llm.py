@@ -374,6 +374,16 @@ def test_line_dedup_keeps_one_line_of_each_component(spark, docs, odd_docs):
     assert line_dedup.line_dedup(spark, empty(docs)).count() == 0
 
 
+def test_lines_that_share_no_leader_are_linked(spark):
+    """A chain of lines, each similar to its neighbours only, without and after leader rounds."""
+    words = [f"w{i:03d}qx{i * 7919 % 997:03d}" for i in range(400)]
+    chain = [" ".join(words[5 * i:5 * i + 60]) for i in range(60)]
+    lines = spark.createDataFrame([(x,) for x in chain], "line string").select(F.xxhash64("line").alias("node"), "line")
+    for rounds in (0, 2):
+        found = line_dedup.line_components(spark, lines, rounds=rounds)
+        assert (found.count(), found.select("root").distinct().count()) == (60, 1)
+
+
 # ---- 10 secrets
 
 def test_secret_scan_base_and_links(spark, docs, odd_docs):
