@@ -13,12 +13,13 @@ def rnd(c: Column | str, n: int = 2, wide: bool = False) -> Column:
     """Half-up rounding on the shortest decimal form of a double.
 
     Rounding is done on a decimal so that ties resolve the same way in every
-    engine (a bare double round depends on the binary expansion).
-    ``wide`` widens the decimal for large sums.
+    engine (a bare double round depends on the binary expansion). The six
+    decimals kept first make results independent of the order in which
+    partial sums of doubles were added. ``wide`` marks large sums; every
+    value has room for 24 digits before the point.
     """
     c = F.col(c) if isinstance(c, str) else c
-    dec = "decimal(30,6)" if wide else "decimal(18,6)"
-    return F.round(c.cast(dec), n).cast("double")
+    return F.round(c.cast("decimal(30,6)"), n).cast("double")
 
 
 def norm_text(c: Column | str) -> Column:

@@ -1,112 +1,64 @@
 """Distributed helpers that stay exact under skew.
 
-* ``keep_last``            — dedupe by key keeping the greatest row by an explicit
-                             order; a partial (map-side) aggregate, so a key that
-                             holds a third of all rows never lands whole in one task.
-* ``nearest_rank_quantile``— exact nearest-rank quantile per group
-                             (element ``floor((n-1)*q + 0.5)`` of the sorted group).
-                             Large groups are bracketed with a mergeable sketch
-                             (``percentile_approx``) and only the rows inside the
-                             bracket are ranked, so no group is sorted whole in one task.
-* ``median_of``            — per-row median of a few nullable columns.
+* ``keep_last``          — dedupe by key keeping the greatest row by an explicit order.
+* ``nearest_rank_by_key``— exact nearest-rank quantile per group (element
+                           ``floor((n-1)*q + 0.5)`` of the sorted group) by counting:
+                           per value, then per value bucket, so no group's rows are
+                           ever sorted in one task, whatever its size.
+* ``median_of``          — per-row median of a few nullable columns.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups up to this many rows are ranked directly; larger ones are bracketed first.
-SMALL_GROUP_ROWS = 200_000
-# Sketch accuracy for bracketing (relative rank error 1/accuracy).
-SKETCH_ACCURACY = 20_000
-# At most this many heavy groups take the bracketed path (passed as literals).
-HEAVY_KEY_LIMIT = 256
+# Value buckets per doubling of the value.
+BUCKETS_PER_OCTAVE = 256
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the row with the greatest ``order`` tuple (ties are
-    identical rows by construction of ``order``)."""
+    identical rows by construction of ``order``). Copies of a key are combined
+    before the shuffle by a sort-based partial aggregate."""
     payload = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(
         F.max_by(F.struct(*[F.col(c) for c in payload]), F.struct(*[F.col(c) for c in order])).alias("_kept"))
     return picked.select(*[F.col(k) for k in keys], *[F.col(f"_kept.{c}").alias(c) for c in payload]).select(*df.columns)
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where null equals null; the right side's key
-    columns are renamed first, so self-derived frames never clash."""
-    ren = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_rk_{k}")) for k in keys])
-    return left.join(ren, cond, how).drop(*[f"_rk_{k}" for k in keys])
-
-
-def heavy_keys(rows: DataFrame, keys: list[str], threshold: int = SMALL_GROUP_ROWS,
-               limit: int = HEAVY_KEY_LIMIT) -> list[tuple]:
-    """Keys holding more than ``threshold`` rows, heaviest first, at most
-    ``limit`` of them (a bounded driver-side list; one partial aggregate).
-    Any key beyond the limit holds at most 1/limit of the rows."""
-    found = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold)
-             .orderBy(F.col("_n").desc()).limit(limit).collect())
-    return [tuple(r[k] for k in keys) for r in found]
+def _bucket(value: Column) -> Column:
+    """A bucket number that never falls as the value rises; NaN comes last, as in a sort."""
+    v = value.cast("double")
+    steps = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_OCTAVE) + F.lit(2048 * BUCKETS_PER_OCTAVE)
+    return (F.when(F.isnan(v), F.lit(2 ** 62)).when(v > 0, F.when(v == float("inf"), F.lit(2 ** 61)).otherwise(steps))
+            .when(v < 0, F.when(v == float("-inf"), F.lit(-2 ** 61)).otherwise(-steps)).otherwise(F.lit(0)))
 
 
-def _key_in(keys: list[str], values: list[tuple]) -> Column:
-    return F.struct(*[F.col(k) for k in keys]).isin(
-        *[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, t)]) for t in values])
-
-
-def nearest_rank_by_key(rows: DataFrame, keys: list[str], value: str, q: float, out: str,
-                        heavy: list[tuple] | None = None) -> DataFrame:
+def nearest_rank_by_key(rows: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
     """Exact nearest-rank quantile (element ``floor((n-1)*q + 0.5)`` of the
     sorted non-null values) per group; one row per group with a non-null key.
 
-    Ordinary groups: one shuffle by key and a single window (count + row_number
-    over the same ordering). Heavy groups (``heavy_keys``, at most
-    HEAVY_KEY_LIMIT, passed as literals — no broadcast of data-sized state):
-    a mergeable sketch brackets rank k within [lo, hi] (relative error
-    1/SKETCH_ACCURACY with a 4x margin), rows below lo are only counted
-    (partial aggregate) and only rows inside the bracket are ranked, so no
-    heavy group is sorted whole in one task.
+    Rows are counted per (key, value) — a partial aggregate, shuffled by key and
+    value, so a hot key spreads over all tasks — and the counts summed per
+    (key, bucket). The running sum over a key's buckets (a few thousand at most)
+    names the bucket that holds the target rank and the rank within it; only
+    that bucket's distinct values are then ranked. All groups take this one path.
     """
     r = rows.select(*keys, value).where(F.col(value).isNotNull())
     for k in keys:
         r = r.where(F.col(k).isNotNull())
-    if heavy is None:
-        heavy = heavy_keys(r, keys)
-    target = F.floor((F.col("_n") - F.lit(1)).cast("double") * F.lit(float(q)) + F.lit(0.5))
-    w = Window.partitionBy(*keys).orderBy(F.col(value)).rowsBetween(Window.unboundedPreceding,
-                                                                   Window.unboundedFollowing)
-    wr = Window.partitionBy(*keys).orderBy(F.col(value))
-    light = r.where(~_key_in(keys, heavy)) if heavy else r
-    picked = (light.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rn", F.row_number().over(wr))
-              .where(F.col("_rn") - 1 == target).select(*keys, F.col(value).alias(out)))
-    if not heavy:
-        return picked
-    eps = 1.0 / SKETCH_ACCURACY
-    lo_q, hi_q = max(q - 4 * eps, 0.0), min(q + 4 * eps, 1.0)
-    big = r.where(_key_in(keys, heavy))
-    bounds = big.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, F.lit(lo_q), F.lit(SKETCH_ACCURACY)).alias("_lo"),
-        F.percentile_approx(value, F.lit(hi_q), F.lit(SKETCH_ACCURACY)).alias("_hi"))
-    bounds = F.broadcast(bounds.withColumn("_k", target))  # <= HEAVY_KEY_LIMIT rows
-    bj = big.join(bounds, keys)
-    below = F.broadcast(bj.where(F.col(value) < F.col("_lo")).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_below")))  # <= HEAVY_KEY_LIMIT rows
-    cand = bj.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).withColumn("_rn", F.row_number().over(wr))
-    cand = cand.join(below, keys, "left").withColumn("_below", F.coalesce(F.col("_below"), F.lit(0)))
-    picked_big = cand.where(F.col("_below") + F.col("_rn") - 1 == F.col("_k")).select(*keys, F.col(value).alias(out))
-    return picked.unionByName(picked_big)
-
-
-def nearest_rank_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
-    return nearest_rank_by_key(df, keys, value, q, out)
+    counts = r.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col(value)))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    target = F.floor((F.sum("_bc").over(whole) - F.lit(1)).cast("double") * F.lit(float(q)) + F.lit(0.5))
+    buckets = (counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+               .withColumn("_upto", F.sum("_bc").over(upto)).withColumn("_t", target)
+               .where((F.col("_upto") > F.col("_t")) & (F.col("_upto") - F.col("_bc") <= F.col("_t")))
+               .select(*keys, "_b", (F.col("_t") - F.col("_upto") + F.col("_bc")).alias("_k")))
+    run = whole.orderBy(F.col(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.join(buckets, [*keys, "_b"]).withColumn("_run", F.sum("_c").over(run))
+    return (ranked.where((F.col("_run") > F.col("_k")) & (F.col("_run") - F.col("_c") <= F.col("_k")))
+            .select(*keys, F.col(value).alias(out)))
 
 
 def median_of(*cols: Column) -> Column:

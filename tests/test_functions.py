@@ -44,6 +44,8 @@ def test_price_band_boundaries(spark):
 def test_rnd_half_up_on_decimal_form(spark):
     got = one(spark, X.rnd(F.col("x"), 2), [(2.675,), (0.125,), (-2.675,)], "x double")
     assert got == [2.68, 0.13, -2.68]
+    # beyond the range of a narrow decimal
+    assert one(spark, X.rnd(F.col("x"), 2), [(1.5e13,), (None,)], "x double") == [1.5e13, None]
 
 
 def test_keep_last(spark):
@@ -60,25 +62,20 @@ def _brute(values, q):
     return v[int((len(v) - 1) * q + 0.5)]
 
 
-def test_nearest_rank_small_and_heavy(spark, monkeypatch):
+def test_nearest_rank_of_hot_and_small_groups(spark):
     import random
-    rnd = random.Random(7)
-    rows = [("hot", float(rnd.randint(1, 5000))) for _ in range(3000)] + \
-           [("cold", float(rnd.randint(1, 100))) for _ in range(37)] + [("one", 5.0)]
+    rng = random.Random(7)
+    rows = [("hot", float(rng.randint(1, 5000))) for _ in range(3000)] + [("hot", 17.25)] * 900 + \
+           [("cold", rng.uniform(-3, 3)) for _ in range(37)] + [("zero", 0.0), ("zero", -1e300), ("zero", 1e-300), ("one", 5.0)] + \
+           [("ends", v) for v in (float("-inf"), 1.0, float("inf"), float("nan"))] + [(None, 1.0), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    expect = {k: _brute([v for kk, v in rows if kk == k], 0.01) for k in ("hot", "cold", "one")}
-    got = {r.k: r.q for r in ST.nearest_rank_by_key(df, ["k"], "v", 0.01, "q").collect()}
-    assert got == expect
-    # force the bracketed heavy path for the hot key
-    monkeypatch.setattr(ST, "SMALL_GROUP_ROWS", 100)
-    monkeypatch.setattr(ST, "SKETCH_ACCURACY", 200)
-    heavy = ST.heavy_keys(df, ["k"], threshold=100)
-    assert heavy == [("hot",)]
-    got2 = {r.k: r.q for r in ST.nearest_rank_by_key(df, ["k"], "v", 0.01, "q", heavy).collect()}
-    assert got2 == expect
-    expect10 = {k: _brute([v for kk, v in rows if kk == k], 0.10) for k in ("hot", "cold", "one")}
-    got3 = {r.k: r.q for r in ST.nearest_rank_by_key(df, ["k"], "v", 0.10, "q", heavy).collect()}
-    assert got3 == expect10
+    groups = {k: [v for kk, v in rows if kk == k] for k in ("hot", "cold", "zero", "one")}
+    for q in (0.0, 0.01, 0.10, 0.5, 1.0):
+        got = {r.k: r.q for r in ST.nearest_rank_by_key(df, ["k"], "v", q, "q").collect()}
+        ends = got.pop("ends")
+        assert got == {k: _brute(v, q) for k, v in groups.items()}
+        at = int(3 * q + 0.5)
+        assert ends != ends if at == 3 else ends == [float("-inf"), 1.0, float("inf")][at]
 
 
 def test_median_of(spark):
