@@ -184,7 +184,6 @@ DEFAULT_RULES = {
 }
 
 # --- FIXED VALUES: live status words ---
-MARKET_LIVE_STATUS = "ON HAND"
 INVENTORY_LIVE_STATUS = "AVAILABLE"
 
 # Ten attributes of the exact match, in key order.

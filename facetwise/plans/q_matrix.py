@@ -162,18 +162,23 @@ def ppc_sql(a: str) -> str:
     return f"CASE WHEN avg(carat) > 0 THEN {S.rnd(f'avg({a}) / avg(carat)', 0)} ELSE {S.rnd(f'avg({a})', 0)} END"
 
 
-@register("price_matrix", S.with_ctes(f"""SELECT c.*, t.total_stones, h.has_data FROM (
+@register("price_matrix", S.with_ctes(f"""SELECT g.*, c.* EXCLUDE (size_range, color, clarity, count), coalesce(c.count, 0) AS count,
+    coalesce(t.total_stones, 0) AS total_stones, coalesce(h.has_data, false) AS has_data
+  FROM (SELECT sm.size_range, co.color, cl.clarity FROM {S.size_master_values()}
+    CROSS JOIN (SELECT unnest([{PM_COL}]) AS color) co CROSS JOIN (SELECT unnest([{PM_CLAR}]) AS clarity) cl) g LEFT JOIN (
     SELECT size_range, color, clarity, {S.rnd('avg(effective_market_price)')} AS market_avg, {S.rnd('avg(price)')} AS own_avg,
       {S.rnd('avg(recommended_selling_price)')} AS rec_avg, {S.rnd('avg(min_selling_price)')} AS min_avg,
       {S.rnd('avg(premium_selling_price)')} AS prem_avg, {ppc_sql('effective_market_price')} AS market_ppc,
       {ppc_sql('price')} AS own_ppc, {ppc_sql('recommended_selling_price')} AS rec_ppc, {S.rnd('avg(profit_pct)', 1)} AS profit_pct,
       count(*) AS count FROM pm_base WHERE color IN ({PM_COL}) AND clarity IN ({PM_CLAR}) GROUP BY ALL) c
-  JOIN (SELECT size_range, count(*) AS total_stones FROM pm_base GROUP BY ALL) t ON c.size_range = t.size_range
-  JOIN (SELECT size_range, color, count(*) > 0 AS has_data FROM pm_base WHERE clarity IN ({PM_CLAR}) GROUP BY ALL) h
-    ON c.size_range = h.size_range AND c.color = h.color""", "pm_base"))
+    ON c.size_range = g.size_range AND c.color = g.color AND c.clarity = g.clarity
+  LEFT JOIN (SELECT size_range, count(*) AS total_stones FROM pm_base GROUP BY ALL) t ON g.size_range = t.size_range
+  LEFT JOIN (SELECT size_range, color, count(*) > 0 AS has_data FROM pm_base WHERE clarity IN ({PM_CLAR}) GROUP BY ALL) h
+    ON g.size_range = h.size_range AND g.color = h.color""", "pm_base"))
 def price_matrix(spark, d):
-    """Per (range, color D-K, clarity VVS1-SI2) mean prices, per-carat prices
-    (integers), margin and count; range total and (range, color) has-data."""
+    """Dense grid of every range, color D-K and clarity VVS1-SI2: mean prices,
+    per-carat prices (integers), margin and count, null prices and count 0 where no
+    stone is; range total and (range, color) has-data."""
     m = MX.binned(base.matched(spark, d))
     cells = m.where(F.col("color").isin(*dims.PRICE_MATRIX_COLORS) & F.col("clarity").isin(*dims.PRICE_MATRIX_CLARITIES))
 
@@ -189,7 +194,9 @@ def price_matrix(spark, d):
     t = m.groupBy("size_range").agg(F.count(F.lit(1)).alias("total_stones"))
     h = m.where(F.col("clarity").isin(*dims.PRICE_MATRIX_CLARITIES)).groupBy("size_range", "color").agg(
         (F.count(F.lit(1)) > 0).alias("has_data"))
-    return c.join(t, "size_range").join(h, ["size_range", "color"])
+    grid = F.broadcast(MX.scaffold(spark, dims.PRICE_MATRIX_COLORS, dims.PRICE_MATRIX_CLARITIES).select(*MX.CELL))  # 3024 rows
+    out = grid.join(c, MX.CELL, "left").join(t, "size_range", "left").join(h, ["size_range", "color"], "left")
+    return out.fillna({"count": 0, "total_stones": 0, "has_data": False})
 
 
 @register("matrix_all_shapes", S.with_ctes(f"""SELECT shape_sel, {CELL}, count(*) AS pcs, {S.rnd('sum(carat)', 2, True)} AS carats,

@@ -13,7 +13,7 @@ from facetwise.plans import sqlparts as S
 from facetwise.plans.q_core import selling_sql
 from facetwise.plans.q_matrix import cells_df, stock_df, ev_df
 from facetwise.plans.q_sales import sales_cohorts_df
-from facetwise.plans.registry import register
+from facetwise.plans.registry import ORACLES, register
 from facetwise.session import shared_path
 from facetwise.sources import feeds
 from facetwise.sources.snapshots import load_snapshot, write_snapshot
@@ -65,17 +65,20 @@ def report_kpis(spark, d):
 def matrix_detail_report(spark, d):
     c = cells_df(spark, d)
     return c.select(*[F.col(a).alias(b) for a, b in [
-        ("size_range", "Size Range"), ("color", "Color"), ("clarity", "Clarity"), ("pieces", "Pcs"), ("sold", "Sold"),
-        ("sales_pct", "Sold %"), ("vdb_pieces", "Market Pcs"), ("vdb_price", "Market $/ct"), ("current_price", "Own $/ct"),
-        ("ai_price", "AI $/ct"), ("demand_score", "Demand"), ("inventory_status", "Status"), ("recommendation", "Action")]])
+        ("size_range", "Size Range"), ("color", "Color"), ("clarity", "Clarity"), ("vdb_pieces", "Market Pcs"),
+        ("pieces", "Pcs"), ("sold", "Sold"), ("sales_pct", "Sold %"), ("vdb_price", "Market $/ct"),
+        ("diamax_price", "Own $/ct"), ("historical_price", "Historical $/ct"), ("ai_price", "AI $/ct"),
+        ("demand_score", "Demand"), ("inventory_status", "Status")]])
 
 
-@register("range_summary_report")
+SUMMARY = [("size_range", "Size Range"), ("total_stock", "Stock"), ("total_sold", "Sold"), ("sales_pct", "Sold %"),
+           ("current_price", "Current $/ct"), ("historical_selling_price", "Historical $/ct"), ("suggested_price", "AI $/ct")]
+
+
+@register("range_summary_report", "SELECT " + ", ".join(f'{a} AS "{b}"' for a, b in SUMMARY) + f" FROM ({ORACLES['carat_matrix']})")
 def range_summary_report(spark, d):
     r = MX.carat_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d))
-    return r.select(*[F.col(a).alias(b) for a, b in [
-        ("size_range", "Size Range"), ("total_stock", "Stock"), ("total_sold", "Sold"), ("sales_pct", "Sold %"),
-        ("demand_score", "Demand"), ("suggested_price", "Suggested $/ct"), ("recommendation", "Recommendation")]])
+    return r.select(*[F.col(a).alias(b) for a, b in SUMMARY])
 
 
 @register("matrix_grid")
@@ -108,12 +111,13 @@ def price_delta(spark, d):
 @register("signal_flags")
 def signal_flags(spark, d):
     c = cells_df(spark, d)
+    low = lambda x: F.coalesce(x, F.lit(False))  # noqa: E731 - an empty cell raises no flag
     return c.select("size_range", "color", "clarity",
-                    (F.col("sold") >= 100).alias("high_sales"), (F.col("sold") <= 20).alias("low_sales"),
+                    low(F.col("sales_pct") >= 100).alias("high_sales"), low(F.col("sales_pct") <= 20).alias("low_sales"),
                     (F.col("pieces") <= 10).alias("low_stock"), (F.coalesce(F.col("demand_score"), F.lit(0.0)) >= 70).alias("high_demand"),
                     (F.coalesce(F.col("demand_score"), F.lit(100.0)) <= 35).alias("low_demand"),
-                    (F.col("ai_price") < F.col("current_price")).alias("ai_below_own"),
-                    (F.col("ai_price") > F.col("current_price")).alias("ai_above_own"))
+                    low(F.col("ai_price") < F.col("diamax_price")).alias("ai_below_own"),
+                    low(F.col("ai_price") > F.col("diamax_price")).alias("ai_above_own"))
 
 
 @register("display_price")
@@ -135,18 +139,18 @@ def snapshot_roundtrip(spark, d):
     return load_snapshot(spark, path).select(*base.STONE_COLS)
 
 
-@register("snapshot_tolerant")
+@register("snapshot_tolerant", S.with_ctes(f"SELECT {', '.join(base.STONE_COLS)} FROM matched", "matched"))
 def snapshot_tolerant(spark, d):
-    """A snapshot folder holding a corrupt file next to good parquet parts is
-    read with the corrupt part skipped; an absent folder reads as empty."""
+    """Three loads: an intact snapshot gives all its rows; one with an unreadable
+    part and a missing one are absent as a whole and give none."""
     path = shared_path(spark, "tolerant", uuid.uuid4().hex[:8], "matched")
-    write_snapshot(base.matched(spark, d).select(*base.STONE_COLS), path)
-    with open(f"{path.replace('file:', '')}/part-corrupt.parquet", "wb") as fh:
-        fh.write(b"not a parquet file")
-    schema = base.matched(spark, d).select(*base.STONE_COLS).schema.simpleString()[7:-1].replace(":", " ")
-    good = load_snapshot(spark, path, schema)
-    absent = load_snapshot(spark, path + "-absent", schema)
-    return good.unionByName(absent)
+    stones = base.matched(spark, d).select(*base.STONE_COLS)
+    schema = stones.schema.simpleString()[7:-1].replace(":", " ")
+    for p in (path, f"{path}-damaged"):
+        write_snapshot(stones, p)
+    stones.limit(1).select(F.lit("not a parquet file").alias("value")).write.mode("append").text(f"{path}-damaged")
+    loads = [load_snapshot(spark, f"{path}{x}", schema) for x in ("", "-damaged", "-absent")]
+    return loads[0].unionByName(loads[1]).unionByName(loads[2])
 
 
 @register("csv_feed_scan")

@@ -84,12 +84,6 @@ def surplus_opportunities(spark, d):
     return EV.surplus_opportunities(enriched_df(spark, d), 20)
 
 
-def _hist_sql() -> str:
-    known = ", ".join([f"('demand', '{x}')" for x in dims.DEMAND_LABELS] + [f"('confidence', '{x}')" for x in dims.CONFIDENCE_LABELS])
-    return f"""WITH_LONG AS (SELECT 'demand' AS histogram, "Demand_Category" AS label FROM ev_enriched
-    UNION ALL SELECT 'confidence', "Data_Confidence" FROM ev_enriched UNION ALL SELECT 'actions', "Recommendation" FROM ev_enriched)"""
-
-
 S.add("ev_hist_long", ["ev_enriched"], """SELECT 'demand' AS histogram, "Demand_Category" AS label FROM ev_enriched
     UNION ALL SELECT 'confidence', "Data_Confidence" FROM ev_enriched UNION ALL SELECT 'actions', "Recommendation" FROM ev_enriched""")
 KNOWN = ", ".join([f"('demand', '{x}')" for x in dims.DEMAND_LABELS] + [f"('confidence', '{x}')" for x in dims.CONFIDENCE_LABELS])

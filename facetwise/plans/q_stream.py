@@ -10,6 +10,7 @@ from facetwise.functions import dims
 from facetwise.functions.exprs import rnd
 from facetwise.plans import base
 from facetwise.plans import sqlparts as S
+from facetwise.plans.q_sales import sales_deduped
 from facetwise.plans.registry import register
 from facetwise.session import shared_path
 from facetwise.sources.snapshots import write_snapshot
@@ -30,10 +31,9 @@ def market_compaction(spark, d):
 
 
 def _stage(spark, df, name):
-    """Split a snapshot into several files of a fresh source folder (each file
-    plays one upload)."""
+    """Write a frame as the files of a fresh source folder (each file plays one upload)."""
     path = shared_path(spark, "stream-src", f"{name}-{uuid.uuid4().hex[:8]}")
-    write_snapshot(df.repartition(4), path)
+    write_snapshot(df, path)
     return path
 
 
@@ -45,17 +45,24 @@ def stream_market_compaction(spark, d):
     return streams.run_available(spark, s, f"compaction-{uuid.uuid4().hex[:8]}", "complete")
 
 
-@register("stream_trailing_sales")
+@register("stream_trailing_sales", S.with_ctes(f"""SELECT CAST(w AS TIMESTAMP) AS window_start, CAST(w + INTERVAL 30 DAY AS TIMESTAMP) AS window_end,
+    size_range, shape, color, clarity, count(*) AS sales
+  FROM (SELECT *, {S.size_range('carat')} AS size_range,
+      unnest(generate_series(sale_date - INTERVAL 29 DAY, CAST(sale_date AS TIMESTAMP), INTERVAL 1 DAY)) AS w
+    FROM sales_d WHERE sale_date IS NOT NULL) t
+  WHERE size_range IS NOT NULL GROUP BY ALL""", "sales_d"))
 def stream_trailing_sales(spark, d):
-    s = base.sales(spark, d).select("sale_date", "shape", "color", "clarity", "carat")
+    s = sales_deduped(spark, d).select("sale_date", "shape", "color", "clarity", "carat")
     src = _stage(spark, s, "sales")
     st = streams.trailing_sales_stream(spark, src, "sale_date date, shape string, color string, clarity string, carat double")
-    out = streams.run_available(spark, st, f"trailing-{uuid.uuid4().hex[:8]}", "append")
+    out = streams.run_available(spark, st, f"trailing-{uuid.uuid4().hex[:8]}", "complete")
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                       *dims.COHORT_KEYS, "sales")
 
 
-@register("stream_price_history")
+@register("stream_price_history", S.with_ctes(f"""SELECT DISTINCT stone_id, market_bottom_price AS vdb_price, price AS own_price,
+    {S.rnd('market_diff_abs')} AS market_difference, profit_pct AS profit_margin_pct, TIMESTAMP '2026-01-01 00:00:00' AS recorded_at
+  FROM selling""", "selling"))
 def stream_price_history(spark, d):
     m = base.matched(spark, d).select(
         "stone_id", F.col("market_bottom_price").alias("vdb_price"), F.col("price").alias("own_price"),

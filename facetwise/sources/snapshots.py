@@ -10,10 +10,15 @@ import os
 import threading
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from facetwise.session import shared_path
 
+# Error classes of a missing folder, one without any part and a part that cannot be read.
+UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER")
+
 _LOCK = threading.RLock()
 _DONE: dict[tuple, str] = {}
 
@@ -48,14 +53,15 @@ def snapshot(spark: SparkSession, src: str, name: str, build: Callable[[SparkSes
 
 
 def load_snapshot(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Read a snapshot; an unreadable or missing one is treated as absent
-    (empty frame with the expected schema)."""
-    reader = spark.read.option("ignoreCorruptFiles", "true")
-    if schema:
-        reader = reader.schema(schema)
+    """Read a snapshot. With ``schema``, one that is missing or has an unreadable
+    part is absent as a whole (empty frame of that schema): the footers of all
+    parts are read first, in a Spark job. Without it, both raise."""
+    if schema is None:
+        return spark.read.parquet(path)
     try:
-        return reader.parquet(path)
-    except Exception:  # noqa: BLE001 - absent/unreadable snapshot
-        if schema is None:
+        found = spark.read.option("mergeSchema", "true").parquet(path)
+    except (PySparkException, Py4JJavaError) as absent:
+        if not any(x in str(absent) for x in UNREADABLE):
             raise
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if found.columns else found

@@ -41,23 +41,22 @@ def market_compaction_stream(spark: SparkSession, source_dir: str, schema: str)
 
 
 def trailing_sales_stream(spark: SparkSession, source_dir: str, schema: str) -> DataFrame:
-    """Sliding 30-day windows (1-day slide) of sale counts per cohort with a
-    watermark: sales later than 30 days behind the max seen date are dropped."""
+    """Sliding 30-day windows (1-day slide) of sale counts per cohort. Run in complete
+    mode, which emits windows that are still open too, the latest one above all."""
     sales = spark.readStream.schema(schema).parquet(source_dir)
     s = (sales.where(F.col("sale_date").isNotNull())
          .withColumn("sale_ts", F.col("sale_date").cast("timestamp"))
          .withColumn("size_range", size_range(F.col("carat"))).where(F.col("size_range").isNotNull()))
-    return (s.withWatermark("sale_ts", "30 days")
-            .groupBy(F.window("sale_ts", "30 days", "1 day"), *dims.COHORT_KEYS)
+    return (s.groupBy(F.window("sale_ts", "30 days", "1 day"), *dims.COHORT_KEYS)
             .agg(F.count(F.lit(1)).alias("sales")))
 
 
 def price_history_stream(spark: SparkSession, source_dir: str, schema: str) -> DataFrame:
-    """Append-only price snapshots keyed by (stone, snapshot time), duplicates
-    within the watermark dropped."""
+    """Append-only price snapshots; a row that arrives again within the watermark is
+    dropped. Stone ids repeat in a feed, so the whole row is the key."""
     rows = spark.readStream.schema(schema).parquet(source_dir)
     return (rows.withWatermark("recorded_at", "1 day")
-            .dropDuplicatesWithinWatermark(["stone_id", "recorded_at"]))
+            .dropDuplicatesWithinWatermark(rows.columns))
 
 
 def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
