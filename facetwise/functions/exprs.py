@@ -74,12 +74,31 @@ def parse_date(c: Column | str, dtype: str = "string") -> Column:
 
 def size_range(carat: Column | str) -> Column:
     """Closed-range size master label, null outside every range (gaps included)."""
-    c = F.col(carat) if isinstance(carat, str) else carat
-    expr = None
+    return containing_range(carat, carat)
+
+
+def _by_cent(of) -> Column:
+    """Literal array indexed by hundredths of a carat; empty text in the gaps."""
+    cells = [""] * (max(_cents(hi) for _, _, hi in dims.SIZE_MASTER) + 1)
     for label, lo, hi in dims.SIZE_MASTER:
-        cond = (c >= F.lit(lo)) & (c <= F.lit(hi))
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr
+        for at in range(_cents(lo), _cents(hi) + 1):
+            cells[at] = str(of(label, lo, hi))
+    return F.split(F.lit(",".join(cells)), ",")
+
+
+def _cents(carat: float) -> int:
+    return round(carat * 100)
+
+
+def containing_range(lo: Column | str, hi: Column | str) -> Column:
+    """Master range that contains the closed interval [lo, hi]. The bounds are whole
+    hundredths and the ranges disjoint, so the hundredth nearest to ``lo`` names the only
+    candidate, whose bounds are then checked; the lookup is one array access, not a branch
+    per range."""
+    lo, hi = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in (lo, hi)]
+    at = F.round(lo * 100).try_cast("int")
+    low, high = [F.get(_by_cent(lambda *r, i=i: r[i]), at).try_cast("double") for i in (1, 2)]
+    return F.when((lo >= low) & (hi <= high) & (hi >= lo), F.get(_by_cent(lambda label, *_: label), at))
 
 
 def parse_range_label(label: Column | str) -> tuple[Column, Column]:

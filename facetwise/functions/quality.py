@@ -21,6 +21,13 @@ def quality_predicate(columns: list[str], filters: dict[str, str], side: str = "
     preds: list[Column] = []
     cols = set(columns)
     requested = {k: str(v or "ALL").upper() for k, v in filters.items()}
+
+    def grade(attr: str) -> Column:
+        if not sales_grades:
+            return F.col(attr)
+        u = F.upper(F.trim(F.col(attr).cast("string")))
+        return F.when(u == "EX", F.lit("EXCELLENT")).when(u == "ID", F.lit("IDEAL")).otherwise(u)
+
     three_x = requested.get("cut") == "3X"
     for attr in GRADE_ATTRS:
         want = requested.get(attr, "ALL")
@@ -28,10 +35,7 @@ def quality_predicate(columns: list[str], filters: dict[str, str], side: str = "
             continue
         if side == "inventory" and attr in MARKET_ONLY:
             continue
-        value = F.col(attr)
-        if sales_grades:
-            u = F.upper(F.trim(value.cast("string")))
-            value = F.coalesce(F.when(u == "EX", F.lit("EXCELLENT")).when(u == "ID", F.lit("IDEAL")), u)
+        value = grade(attr)
         if want == "EX_OR_IDEAL":
             preds.append(value.isin("EXCELLENT", "IDEAL"))
         else:
@@ -39,7 +43,7 @@ def quality_predicate(columns: list[str], filters: dict[str, str], side: str = "
     if three_x:
         for attr in ("polish", "symmetry"):
             if attr in cols:
-                preds.append(F.col(attr) == "EXCELLENT")
+                preds.append(grade(attr) == "EXCELLENT")
     return reduce(lambda a, b: a & b, preds, F.lit(True))
 
 

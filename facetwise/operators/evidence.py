@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import dims
-from facetwise.functions.exprs import lookup, parse_range_label, rnd, safe_div, size_range
+from facetwise.functions.exprs import containing_range, parse_range_label, rnd, safe_div
 
 EVIDENCE_SCHEMA = ("Shape string, EV_Size_Bucket string, Color string, Clarity string, EV_Stock long, EV_Sold long, "
                    "Stock_Metric double, Diamax_Sold long, Demand_Category string, Data_Confidence string, "
@@ -21,18 +21,6 @@ LOW_SALES_RECOMMENDATION = "Insufficient historical sales data"
 LOW_SALES_REASON = "own_sales_below_5"
 
 
-def range_hi(label: Column) -> Column:
-    return lookup({lbl: str(hi) for lbl, _, hi in dims.SIZE_MASTER}, label).cast("double")
-
-
-def containing_range(lo: Column, hi: Column) -> Column:
-    """Master range containing the closed bucket [lo, hi] (ranges are disjoint,
-    so it is the range holding lo, if it also holds hi) — a codegen'd
-    expression instead of a nested-loop theta join."""
-    r = size_range(lo)
-    return F.when((hi >= lo) & (hi <= range_hi(r)), r)
-
-
 def with_master_range(ev: DataFrame) -> DataFrame:
     lo, hi = parse_range_label(F.col("EV_Size_Bucket"))
     return ev.withColumn("size_range", containing_range(lo, hi))

@@ -50,7 +50,7 @@ def exact_match(inventory: DataFrame, market: DataFrame) -> DataFrame:
 
 def unmatched_inventory(inventory: DataFrame, market: DataFrame) -> DataFrame:
     keys = join_keys(market, inventory)
-    m = positive_price(market).select(*keys).where(F.lit(True))
+    m = positive_price(market).select(*keys).distinct()
     return positive_price(inventory).join(m, keys, "left_anti")
 
 

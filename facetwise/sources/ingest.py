@@ -16,31 +16,21 @@ LISTING_COLUMNS = ["stone_id", "shape", "carat", "color", "clarity", "cut", "pol
 
 
 def normalize_headers(names: list[str]) -> list[str]:
-    """strip + lower; blank -> column_i; repeated names get _2, _3 ..."""
-    seen: dict[str, int] = {}
-    out = []
-    for i, raw in enumerate(names):
+    """strip + lower; the i-th header, if blank, is column_i (from 1); a name already
+    given gets the first free one of _2, _3 ..."""
+    out: list[str] = []
+    for i, raw in enumerate(names, 1):
         name = str(raw or "").strip().lower() or f"column_{i}"
-        if name in seen:
-            seen[name] += 1
-            name = f"{name}_{seen[name]}"
-        else:
-            seen[name] = 1
-        out.append(name)
+        free = (f"{name}_{n}" for n in range(2, len(names) + 2))
+        out.append(name if name not in out else next(x for x in free if x not in out))
     return out
 
 
 def detect_role(columns: list[str], filename: str = "") -> str | None:
-    """sales -> market -> inventory precedence: header hints first, then file name."""
+    """The first of sales, market and inventory that a header or the file name hints at."""
     cols = {str(c).strip().lower() for c in columns}
-    for role in ("sales", "market", "inventory"):
-        if cols & set(dims.ROLE_HEADER_HINTS[role]):
-            return role
-    name = filename.lower()
-    for role in ("sales", "market", "inventory"):
-        if any(word in name for word in dims.ROLE_NAME_HINTS[role]):
-            return role
-    return None
+    hinted = lambda role: cols & set(dims.ROLE_HEADER_HINTS[role]) or any(w in filename.lower() for w in dims.ROLE_NAME_HINTS[role])
+    return next((role for role in ("sales", "market", "inventory") if hinted(role)), None)
 
 
 def _first_present(columns: list[str], aliases: list[str]) -> str | None:

@@ -93,6 +93,20 @@ def test_quality_3x_and_market_only(spark):
     assert quality_filter(df, f, "inventory").count() == 2  # country never filters inventory
 
 
+def test_quality_3x_on_sales_reads_short_grades(spark):
+    df = spark.createDataFrame([("EX", "ex ", "EX"), ("EX", "VG", "EX"), ("ID", "EX", "EX")], "cut string, polish string, symmetry string")
+    assert quality_filter(df, {"cut": "3X"}, "sales").count() == 1
+
+
+def test_size_range_at_bounds_and_gaps(spark):
+    from facetwise.functions import dims
+    carats = sorted({round(x + e, 4) for _, lo, hi in dims.SIZE_MASTER for x in (lo, hi) for e in (-0.01, -0.005, -0.0001, 0, 0.0001, 0.005, 0.01)})
+    want = [next((n for n, lo, hi in dims.SIZE_MASTER if lo <= c <= hi), None) for c in carats]
+    assert one(spark, X.size_range("x"), [(c,) for c in carats], "x double") == want
+    odd = [(None,), (-1.0,), (0.0,), (1e300,), (float("nan"),)]
+    assert one(spark, X.size_range("x"), odd, "x double") == [None] * 5
+
+
 def test_sequential_index(spark):
     from facetwise.sources.ingest import sequential_index
     df = spark.range(0, 1000, 1, 7).toDF("v")
@@ -102,7 +116,9 @@ def test_sequential_index(spark):
 
 def test_header_helpers():
     from facetwise.sources.ingest import detect_role, normalize_headers
-    assert normalize_headers([" Shape ", "", "shape", None]) == ["shape", "column_1", "shape_2", "column_3"]
+    assert normalize_headers([" Shape ", "", "shape", None]) == ["shape", "column_2", "shape_2", "column_4"]
+    assert normalize_headers(["a", "a_2", "a", "a"]) == ["a", "a_2", "a_3", "a_4"]
+    assert detect_role(["stone location"], "sales_2024.csv") == "sales"
     assert detect_role(["Invoice No", "Shape"], "x.csv") == "sales"
     assert detect_role(["Unique Stone ID"], "") == "market"
     assert detect_role(["Shape"], "diamax_export.csv") == "inventory"
