@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_dedup(spark, docs, keep_rows=True).where("n_lines > n_removed or n_lines = 0")
+    found = line_dedup.line_dedup(spark, docs, keep_rows=True, k=line_dedup.SHINGLE).where("n_lines > n_removed or n_lines = 0")
     return _with_text(found, docs.columns, "kept_text")
 
 

@@ -65,7 +65,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(spark, documents(spark, sf_dir))
+    return line_dedup.line_dedup(spark, documents(spark, sf_dir), k=line_dedup.SHINGLE)
 
 
 @query
