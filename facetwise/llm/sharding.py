@@ -6,11 +6,14 @@ in and ask to move there, and each shard accepts groups, in hash order, as long
 capacity lasts. What is not accepted asks again in the next round, for the best shard that
 still has room. Unlinked documents then fill the shards to the row.
 
-Law ``rows``: the sizes of any two shards differ by one row at most. A group of more than
-half a shard is first cut into random parts of that size, which are placed on their own;
-so a group of a third of all rows never meets in one task. Only counts for each
-shard reach the driver; ranks come from sums over ``BUCKETS`` hash buckets a shard, a
-table of fixed size, and a window inside a bucket.
+Law ``rows``: the sizes of any two shards differ by one row at most. Only a group of more
+than the largest shard is first cut, by rank in hash order, into parts of the smallest
+shard's size and one of what is left, which are placed on their own; so a group of a third
+of all rows never meets in one task. Groups and parts of more than 1/``LARGE`` of a shard,
+a number that does not grow with the table, are placed on the driver before the rounds,
+the largest first, so that they find shards with room. Besides their sizes and votes only
+counts for each shard reach the driver; ranks come from sums over ``BUCKETS`` hash buckets
+a shard or group, a table of fixed size, and a window inside a bucket.
 
 Defined results: size is the text's UTF-8 bytes plus 8 (null: 8), text_crc32 that of its
 UTF-8 bytes (null: of none). Null texts are not linked. Repeated rows are documents of
@@ -25,6 +28,7 @@ from facetwise.llm.tables import written
 
 SHARDS = 24
 ROUNDS = 8
+LARGE = 16
 BUCKETS = 1024
 
 
@@ -50,6 +54,25 @@ def _counts(frame: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
+def _packed(units: dict[int, dict[int, int]], room: list[int]) -> dict[int, int]:
+    """The shard of each unit (its votes for each shard), the largest units first: the one
+    with most votes of those with room, else the fullest of them. Units that fit nowhere
+    are left out. If fewer rows are left out when all take the fullest shard, they do."""
+    plans = []
+    for voted in (1, 0):
+        left, plan, out = list(room), {}, 0
+        for unit, votes in sorted(units.items(), key=lambda u: (-sum(u[1].values()), u[0])):
+            members = sum(votes.values())
+            fits = [s for s in range(len(left)) if left[s] >= members]
+            if fits:
+                plan[unit] = max(fits, key=lambda s: (voted * votes.get(s, 0), -left[s], -s))
+                left[plan[unit]] -= members
+            else:
+                out += members
+        plans.append((out, plan))
+    return min(plans, key=lambda p: p[0])[1]
+
+
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, and
     linked (whether the row's text is there more than once)."""
@@ -60,14 +83,31 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
     base = written(spark, base.withColumn("rid", F.monotonically_increasing_id()), "shard-base")
     n = base.count()
     cap = [n // shards + (s < n % shards) for s in range(shards)]
-    part_rows = max(1, cap[-1] // 2)
+    part_rows = max(1, cap[-1])
 
     mix = F.xxhash64("rid", F.lit("order"))
     groups = base.where("not none").groupBy("h1", "h2").agg(F.count("*").alias("members")).where("members > 1")
-    linked = (base.where("not none").join(groups, ["h1", "h2"])
-              .select("rid", F.xxhash64("h1", "h2", F.pmod(mix, F.ceil(F.col("members") / part_rows))).alias("unit"), F.pmod(mix, F.lit(shards)).cast("int").alias("shard")))
+    groups = groups.select("h1", "h2", "members", F.xxhash64("h1", "h2").alias("group"))
+    member = (base.where("not none").join(groups, ["h1", "h2"])
+              .select("rid", "group", "members", mix.alias("order"), F.pmod(mix, F.lit(shards)).cast("int").alias("shard")))
+    member = written(spark, member, "shard-linked")
+    # fewer groups than shards are larger than a shard
+    ranked = _before(member.where(F.col("members") > cap[0]), "group", "order", F.lit(1).cast("long"), "rank")
+    parts = ranked.select("rid", F.xxhash64("group", F.floor(F.col("rank") / part_rows)).alias("unit"), "shard")
+    linked = member.where(F.col("members") <= cap[0]).select("rid", F.col("group").alias("unit"), "shard").unionByName(parts)
     state = written(spark, linked, "shard-state")
+
+    votes = state.groupBy("unit", "shard").agg(F.count("*").alias("votes"))
+    large = votes.groupBy("unit").agg(F.sum("votes").alias("members")).where(F.col("members") * LARGE > cap[0]).select("unit")
+    units: dict[int, dict[int, int]] = {}
+    for r in votes.join(large, "unit").collect():  # at most LARGE * shards units
+        units.setdefault(r["unit"], {})[r["shard"]] = r["votes"]
     settled = None
+    if plan := _packed(units, cap):
+        to = F.inline(F.array(*[F.struct(F.lit(u).cast("long").alias("unit"), F.lit(s).alias("to")) for u, s in plan.items()]))
+        moved = written(spark, state.join(F.broadcast(spark.range(1).select(to)), "unit", "left"), "shard-state")
+        settled = moved.where("to is not null").select("rid", F.col("to").alias("shard"))
+        state = moved.where("to is null").select("rid", "unit", "shard")
     for _ in range(rounds):
         used = _counts(settled, shards) if settled is not None else [0] * shards
         room = [c - u for c, u in zip(cap, used)]
@@ -106,5 +146,5 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
 
     placed = settled.unionByName(stays).unionByName(spare).withColumn("order", mix)
     slots = _before(placed, "shard", "order", F.lit(1).cast("long"), "slot").select("rid", F.col("shard").cast("int").alias("shard"), "slot")
-    return (base.join(slots, "rid").join(linked.select("rid", F.lit(True).alias("linked")), "rid", "left")
+    return (base.join(slots, "rid").join(member.select("rid", F.lit(True).alias("linked")), "rid", "left")
             .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("linked", F.lit(False)).alias("linked")))

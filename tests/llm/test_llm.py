@@ -74,6 +74,19 @@ def test_sharding_rows_law_and_groups(spark, docs, odd_docs):
     assert sharding.shard(spark, empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("n,groups,cut", [(2400, [60, 100, 61, 40], {}), (2400, [800], {0: 8}), (60, [2] * 12 + [3], {}), (49, [3, 2, 4], {2: 2})])
+def test_groups_up_to_a_shard_stay_whole(spark, n, groups, cut):
+    texts = [f"group {i}" for i, m in enumerate(groups) for _ in range(m)]
+    texts += [f"single {i}" for i in range(n - len(texts))]
+    rows = sharding.shard(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    sizes, found = Counter(r["shard"] for r in rows), defaultdict(set)
+    for r in rows:
+        if r["linked"]:
+            found[texts[r["doc_id"]]].add(r["shard"])
+    assert len(rows) == n and len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert {t: len(s) for t, s in found.items()} == {f"group {i}": cut.get(i, 1) for i in range(len(groups))}
+
+
 # ---- 2 pieces
 
 def test_viterbi_is_the_best_segmentation():
