@@ -4,7 +4,10 @@ Documents are linked when their texts are equal. Every document starts in the sh
 row hash gives; in each round the members of a group vote for the shard most of them are
 in and ask to move there, and each shard accepts groups, in hash order, as long as its
 capacity lasts. What is not accepted asks again in the next round, for the best shard that
-still has room. Unlinked documents then fill the shards to the row.
+still has room, or without a vote for such a one for any with room, drawn by hash and
+weighted by the room, until a round moves nothing: then no group left fits anywhere. Those
+are spread by row, and their number is logged. Unlinked documents then fill the shards to
+the row.
 
 Law ``rows``: the sizes of any two shards differ by one row at most. Only a group of more
 than the largest shard is first cut, by rank in hash order, into parts of the smallest
@@ -21,13 +24,14 @@ their own. Extra columns are ignored; an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetwise.llm.tables import written
 
 SHARDS = 24
-ROUNDS = 8
 LARGE = 16
 BUCKETS = 1024
 
@@ -73,7 +77,7 @@ def _packed(units: dict[int, dict[int, int]], room: list[int]) -> dict[int, int]
     return min(plans, key=lambda p: p[0])[1]
 
 
-def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, and
     linked (whether the row's text is there more than once)."""
     text = docs["text"].cast("string")
@@ -108,16 +112,18 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
         moved = written(spark, state.join(F.broadcast(spark.range(1).select(to)), "unit", "left"), "shard-state")
         settled = moved.where("to is not null").select("rid", F.col("to").alias("shard"))
         state = moved.where("to is null").select("rid", "unit", "shard")
-    for _ in range(rounds):
+    salt = 0
+    while state.limit(1).count():
         used = _counts(settled, shards) if settled is not None else [0] * shards
         room = [c - u for c, u in zip(cap, used)]
         votes = state.groupBy("unit", "shard").agg(F.count("*").alias("votes"))
         votes = votes.join(votes.groupBy("unit").agg(F.sum("votes").alias("members")), "unit")
-        # votes for a shard without room for the unit do not count; a unit without any vote asks for the emptiest shard
+        # votes for a shard without room for the unit do not count
         best = F.struct(F.when(_by_shard(room) >= F.col("members"), F.col("votes")).otherwise(0).alias("votes"), F.xxhash64("unit", "shard").alias("tie"), "shard")
         asked = votes.groupBy("unit").agg(F.max(best).alias("best"), F.max("members").alias("members"))
-        widest = max(range(shards), key=lambda s: (room[s], -s))
-        asked = asked.select("unit", "members", F.when(F.col("best.votes") > 0, F.col("best.shard")).otherwise(widest).alias("shard"))
+        draw = [(F.pmod(F.xxhash64("unit", F.lit(salt), F.lit(s)), F.lit(1 << 31)) + 1) / ((1 << 31) + 1) for s in range(shards)]
+        drawn = F.array_max(F.array(*[F.struct(F.when(F.col("members") <= r, F.log(u) / max(r, 1)).alias("o"), F.lit(s).alias("s")) for s, (r, u) in enumerate(zip(room, draw))]))
+        asked = asked.select("unit", "members", F.when(F.col("best.votes") > 0, F.col("best.shard")).otherwise(drawn["s"]).alias("shard"))
         asked = asked.where(F.col("members") <= _by_shard(room))  # else it would stand in the way of smaller ones
         ranked = _before(asked.withColumn("order", F.xxhash64("unit", F.lit("unit"))), "shard", "order", F.col("members"), "ahead")
         moves = ranked.where(F.col("ahead") + F.col("members") <= _by_shard(room)).select("unit", F.col("shard").alias("to"))
@@ -125,9 +131,12 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, rounds: in
         done = moved.where("to is not null").select("rid", F.col("to").alias("shard"))
         settled = done if settled is None else settled.unionByName(done)
         state = moved.where("to is null").select("rid", "unit", "shard")
-        if not state.limit(1).count():
+        salt += 1
+        if not done.limit(1).count():
+            logging.getLogger(__name__).warning("%d groups or parts of equal texts fit no shard and are spread by row", state.select("unit").distinct().count())
             break
 
+    settled = base.select("rid", F.lit(0).alias("shard")).where("false") if settled is None else settled
     used = _counts(settled, shards)
     room = [c - u for c, u in zip(cap, used)]
     rest = base.select("rid").join(settled.select("rid"), "rid", "left_anti").withColumn("order", mix).withColumn("shard", F.pmod(mix, F.lit(shards)).cast("int"))

@@ -87,6 +87,15 @@ def test_groups_up_to_a_shard_stay_whole(spark, n, groups, cut):
     assert {t: len(s) for t, s in found.items()} == {f"group {i}": cut.get(i, 1) for i in range(len(groups))}
 
 
+def test_sharding_asks_until_nothing_moves(spark):
+    """A table of pairs that fill all shards exactly."""
+    rows = sharding.shard(spark, spark.range(3840).selectExpr("id as doc_id", "concat('pair ', id div 2) as text"), shards=96).collect()
+    found = defaultdict(set)
+    for r in rows:
+        found[r["doc_id"] // 2].add(r["shard"])
+    assert set(Counter(r["shard"] for r in rows).values()) == {40} and all(len(s) == 1 for s in found.values())
+
+
 # ---- 2 pieces
 
 def test_viterbi_is_the_best_segmentation():
