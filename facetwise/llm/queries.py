@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontaminate, language_id, line_dedup, ngram_join, periodic_runs, piece_codec, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from facetwise.llm import decontaminate, language_id, line_dedup, lm_scoring, ngram_join, periodic_runs, piece_codec, quality_rules, secret_scan, sharding, substring_dedup, token_output
 from facetwise.llm.tables import documents
 
 #: Where the public tokenizers' files are; a name in it is a parameter of the operators.
@@ -76,3 +76,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(documents(spark, sf_dir), periodic_runs.tenth_repeats))
+
+
+@query
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scoring(spark, documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
