@@ -45,6 +45,7 @@ from facetwise.llm.word_cache import worker_value
 
 SMOOTH = 0.1
 FOLDS = 10
+BLOCK_BYTES = 16 << 20
 
 _PARTS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("train", pa.bool_()), ("n_words", pa.int64()), ("bag", pa.binary()),
                     ("word", pa.string()), ("place", pa.int32()), ("times", pa.int64())])
@@ -57,7 +58,7 @@ def fold(doc_id: int | None) -> int | None:
 def _parts(batches):
     """Documents with their bags of words (places in the block's word list, then how often),
     and the block's words with their number in training documents."""
-    for block, rows, texts in numbered(batches):
+    for block, rows, texts in numbered(batches, BLOCK_BYTES):
         words, first = split_words(pc.ascii_lower(texts))
         coded = words.dictionary_encode()
         names, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
