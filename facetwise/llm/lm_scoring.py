@@ -45,7 +45,7 @@ from facetwise.llm.word_cache import worker_value
 
 SMOOTH = 0.1
 FOLDS = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _PARTS = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("train", pa.bool_()), ("n_words", pa.int64()), ("bag", pa.binary()),
                     ("word", pa.string()), ("place", pa.int32()), ("times", pa.int64())])
@@ -56,8 +56,9 @@ def fold(doc_id: int | None) -> int | None:
 
 
 def _parts(batches):
-    """Documents with their bags of words (places in the block's word list, then how often),
-    and the block's words with their number in training documents."""
+    """Documents with their bags of words, and the block's words with their number in
+    training documents. A bag holds the steps between the words' places in the block's list
+    and how often each occurs, both as planes of bytes, which the shuffle compresses well."""
     for block, rows, texts in numbered(batches, BLOCK_BYTES):
         words, first = split_words(pc.ascii_lower(texts))
         coded = words.dictionary_encode()
@@ -70,8 +71,11 @@ def _parts(batches):
         width = max(1, len(names))
         bags, often = np.unique(text_of * width + place, return_counts=True)
         ends = np.searchsorted(bags, np.arange(len(texts) + 1) * width).tolist()
-        here, often = (bags % width).astype("<u4"), often.astype("<u4")
-        bag = [here[a:b].tobytes() + often[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        here = np.diff(bags, prepend=0)  # steps from one place to the next; a document's first is its place
+        starts = np.array(ends[:-1])[np.diff(ends) > 0]
+        here[starts] = bags[starts] % width
+        planes = np.stack([here.astype("<u4"), often.astype("<u4")], 1).view(np.uint8)
+        bag = [planes[a:b].T.tobytes() for a, b in zip(ends[:-1], ends[1:])]
         times = np.bincount(place[train[text_of]], minlength=len(names))
         none = lambda n: {f.name: pa.nulls(n, f.type) for f in _PARTS}
         n = len(texts)
@@ -158,7 +162,8 @@ def _scored(train_tokens: int, distinct: int, ends: int, end_score: float):
         known[at], word_base[at], log_p[at] = times > 0, base(times), values.column("log_p").to_numpy()
         found = []
         for bag in docs.column("bag").to_pylist():
-            here, often = np.frombuffer(bag, "<u4").reshape(2, -1)
+            steps, often = np.ascontiguousarray(np.frombuffer(bag, np.uint8).reshape(8, -1).T).view("<u4").T
+            here = np.cumsum(steps, dtype=np.int64)
             found.append((int(often[known[here]].sum()) + (ends > 0), float(word_base[here] @ often + base(ends)), float(log_p[here] @ often + end_score)))
         n_known, base_score, score = zip(*found)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pc.add(docs.column("n_words"), 1),
