@@ -4,13 +4,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontaminate, language_id, line_dedup, lm_scoring, ngram_join, periodic_runs, piece_codec, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from facetwise.llm import cross_align, decontaminate, language_id, line_dedup, lm_scoring, ngram_join, periodic_runs, piece_codec, quality_rules, secret_scan, sharding, substring_dedup, token_output
 from facetwise.llm.tables import documents
 
 #: Where the public tokenizers' files are; a name in it is a parameter of the operators.
-TOKENIZERS = os.environ.get("FACETWISE_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("FACETWISE_TOKENIZERS") or os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +74,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(spark, documents(spark, sf_dir)))
 
 
+@query
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_align.cross_align(spark, documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(documents(spark, sf_dir), periodic_runs.tenth_repeats))
