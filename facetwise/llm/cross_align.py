@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -84,35 +85,57 @@ class Sides:
 
     def encoded(self, new: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes, bool]]]:
         """(cut, (A ids, B ids, whether both sides give its bytes)) of distinct cuts."""
-        marked = [" " + c for c in new]
         encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
         for at in range(0, len(new), 2000):
             some = new[at:at + 2000]
-            for c, m, a, b in zip(some, marked[at:at + 2000], encode(marked[at:at + 2000], add_special_tokens=False), self.b.encode(some, num_threads=1)):
-                raw, a = m.encode(), a.ids
-                if not c:  # the library gives no token for an empty text; it is a lone blank here
-                    b = [self.b.piece_to_id("▁")]
-                ok = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-                yield c, (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), ok)
+            marked = [" " + c for c in some]
+            ids = [e.ids for e in encode(marked, add_special_tokens=False)], self.b.encode(some, num_threads=1)
+            if "" in some:  # the library gives no token for an empty text; it is a lone blank here
+                ids[1][some.index("")] = [self.b.piece_to_id("▁")]
+            raw = [m.encode() for m in marked]
+            sides = [_side(x, raw, names, size) for x, names, size in zip(ids, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size))]
+            yield from zip(some, zip(sides[0][0], sides[1][0], (sides[0][1] & sides[1][1]).tolist()))
 
     def encode(self, texts: list[str], cache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(A ids, B ids, their numbers in each text); texts without tokens have none."""
+        """(A ids, their numbers in each text, B ids, their numbers); texts without tokens
+        have none."""
         split = [cuts(t) if t else [] for t in texts]
-        new = cache.missing({c for cs in split for c in cs})
+        index = {c: i for i, c in enumerate({c for cs in split for c in cs})}
+        new = cache.missing(index)
         young = cache.young
         young.update(self.encoded(new))
-        a, b = [], []
-        for cs in split:
-            found = list(map(young.__getitem__, cs))
-            whole = all([f[2] for f in found])
-            a.append(b"".join([f[0] for f in found]) if whole else b"")
-            b.append(b"".join([f[1] for f in found]) if whole else b"")
+        found = list(map(young.__getitem__, index))
+        size = np.array(list(map(len, split)), np.int64)
+        place = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        text_of = np.repeat(np.arange(len(texts)), size)
+        odd = np.array([not f[2] for f in found], bool)
+        spoilt = np.zeros(len(texts), bool)
+        spoilt[text_of[odd[place]]] = True
+        place, text_of = place[~spoilt[text_of]], text_of[~spoilt[text_of]]
         for c in new:
             if len(c) > LONG_CUT:
                 del young[c]
         cache.settle()
-        flat = lambda side: (np.frombuffer(b"".join(side), "<u4").astype(np.int64), np.array([len(x) // 4 for x in side], np.int64))
-        return *flat(a), *flat(b)
+        out = []
+        for side in (0, 1):
+            flat = np.frombuffer(b"".join([f[side] for f in found]), "<u4").astype(np.int64)
+            until = np.cumsum([len(f[side]) // 4 for f in found], dtype=np.int64)
+            n = np.diff(until, prepend=0)[place]
+            shift = until[place] - np.cumsum(n)
+            out += [flat[np.arange(n.sum()) + np.repeat(shift, n)], np.bincount(text_of, n, minlength=len(texts)).astype(np.int64)]
+        return tuple(out)
+
+
+def _side(ids: list[list[int]], raw: list[bytes], names: list[bytes], size: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(packed ids, whether their bytes are those wanted) of each cut."""
+    until = np.cumsum([len(x) for x in ids])
+    flat = np.fromiter(chain.from_iterable(ids), "<u4", until[-1])
+    packed, ends = flat.tobytes(), (until * 4).tolist()
+    cut = [packed[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+    same = np.diff(np.cumsum(size[flat])[until - 1], prepend=0) == np.array(list(map(len, raw)))
+    if not same.all() or b"".join(map(names.__getitem__, flat.tolist())) != b"".join(raw):
+        same = np.array([b"".join(map(names.__getitem__, x)) == r for x, r in zip(ids, raw)])
+    return cut, same
 
 
 def groups(a_end: np.ndarray, a_doc: np.ndarray, a_size: np.ndarray, b_end: np.ndarray, b_doc: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
