@@ -183,6 +183,14 @@ DEFAULT_RULES = {
     "wait_threshold": 3.0,
 }
 
+# --- FIXED VALUES: alerts (relative own-price move; type -> title, message; {} is the recommendation) ---
+ALERT_PRICE_MOVE = 0.01
+ALERT_TEXTS = {
+    "PRICE_CHANGE": ("Price Changed", "Price for stone changed."),
+    "{}_ALERT": ("Recommendation changed to {}", "Stone recommendation is now {}."),
+    "NEW_MATCH": ("New Match Found", "A new match was found."),
+}
+
 # --- FIXED VALUES: live status words ---
 INVENTORY_LIVE_STATUS = "AVAILABLE"
 

@@ -6,8 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetwise.functions import dims
 from facetwise.functions.exprs import clamp, rnd
 
+#: A pair is one market and one inventory listing.
+PAIR_KEY = ["market_stone_id", "stone_id"]
+
 PAIR_TIERS = [(10, "STRONG_BUY", 5), (5, "BUY", 4), (3, "HOLD", 3)]
 
 
@@ -70,35 +74,47 @@ def negotiation_advice(priced: DataFrame) -> DataFrame:
                          F.array("min_sell_price", "premium_sell_price").alias("negotiation_range"))
 
 
+def pair_id(market_id: Column | str = "market_stone_id", inventory_id: Column | str = "stone_id") -> Column:
+    return F.concat_ws("|", market_id, inventory_id)
+
+
 def alert_diff(new: DataFrame, old: DataFrame) -> DataFrame:
     """PRICE_CHANGE when the own price moved > 1% (denominator old price or 1),
     <REC>_ALERT when the recommendation changed, NEW_MATCH when unseen; one
     pair may yield two alerts (explode of the non-null candidates)."""
-    o = old.select("pair_id", F.col("price").alias("old_price"), F.col("recommendation").alias("old_rec"))
-    j = new.join(o, "pair_id", "left")
-    seen = F.col("old_price").isNotNull() | F.col("old_rec").isNotNull()
+    o = old.select(*PAIR_KEY, F.col("price").alias("old_price"), F.col("recommendation").alias("old_rec"), F.lit(True).alias("seen"))
+    j = new.join(o, PAIR_KEY, "left")
+    seen = F.coalesce("seen", F.lit(False))
     denom = F.when(F.coalesce(F.col("old_price"), F.lit(0.0)) != 0, F.col("old_price")).otherwise(F.lit(1.0))
-    moved = F.abs(F.col("price") - F.col("old_price")) / denom > 0.01
-    alert = lambda t, title, ov, nv: F.struct(F.lit(t).alias("alert_type") if isinstance(t, str) else t.alias("alert_type"),
-                                              title.alias("title"), ov.alias("old_value"), nv.alias("new_value"))
+    moved = F.abs(F.col("price") - F.col("old_price")) / denom > dims.ALERT_PRICE_MOVE
     none = F.lit(None).cast("double")
-    cands = F.array(
-        F.when(seen & moved, alert("PRICE_CHANGE", F.lit("Price Changed"), F.col("old_price"), F.col("price"))),
-        F.when(seen & (F.col("recommendation") != F.col("old_rec")),
-               alert(F.concat(F.col("recommendation"), F.lit("_ALERT")),
-                     F.concat(F.lit("Recommendation changed to "), F.col("recommendation")), none, none)),
-        F.when(~seen, alert("NEW_MATCH", F.lit("New Match Found"), none, none)))
-    return j.select("pair_id", "stone_id", "market_stone_id", F.explode(F.array_compact(cands)).alias("a")).select(
+
+    def alert(kind: str, old_value: Column, new_value: Column) -> Column:
+        rec = F.col("recommendation")
+        filled = [F.lit(text) if "{}" not in text else F.concat(*[x for part in text.split("{}") for x in (F.lit(part), rec)][:-1])
+                  for text in (kind, *dims.ALERT_TEXTS[kind])]
+        return F.struct(*[c.alias(n) for c, n in zip(filled, ("alert_type", "title", "message"))], old_value.alias("old_value"), new_value.alias("new_value"))
+
+    found = F.array(F.when(seen & moved, alert("PRICE_CHANGE", F.col("old_price"), F.col("price"))),
+                    F.when(seen & (F.col("recommendation") != F.col("old_rec")), alert("{}_ALERT", none, none)),
+                    F.when(~seen, alert("NEW_MATCH", none, none)))
+    return j.select(pair_id().alias("pair_id"), "stone_id", "market_stone_id", F.explode(F.array_compact(found)).alias("a")).select(
         "pair_id", "stone_id", "market_stone_id", "a.*", F.lit(False).alias("is_read"))
 
 
-def upsert(old: DataFrame, new: DataFrame, metrics: list[str]) -> DataFrame:
-    """Full outer on the pair key: new metrics win, first-seen time kept."""
-    o = old.select("pair_id", *[F.col(c).alias(f"_o_{c}") for c in metrics], F.col("matched_at").alias("_o_at"))
-    n = new.select("pair_id", *metrics, F.col("matched_at").alias("_n_at"))
-    j = n.join(o, "pair_id", "full")
-    return j.select("pair_id", *[F.coalesce(F.col(c), F.col(f"_o_{c}")).alias(c) for c in metrics],
-                    F.coalesce(F.col("_o_at"), F.col("_n_at")).alias("matched_at"))
+def sync_merge(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One sync of pairs into those known: the new metrics win, the time of the first
+    match stays, ``updated_at`` tells when a pair was last seen."""
+    first = old.select(*PAIR_KEY, F.col("matched_at").alias("_first"))
+    seen = new.join(first, PAIR_KEY, "left").withColumn("matched_at", F.coalesce("_first", "matched_at")).drop("_first")
+    return old.join(new.select(*PAIR_KEY), PAIR_KEY, "left_anti").unionByName(seen)
+
+
+def sync_mark(pairs: DataFrame, sync_at: Column) -> DataFrame:
+    """What the sync of that time did to each pair: insert, update, or retire (a pair it no
+    longer holds; the row stays)."""
+    return pairs.withColumn("mark", F.when(F.col("updated_at") < sync_at, F.lit("retire"))
+                            .when(F.col("matched_at") == sync_at, F.lit("insert")).otherwise(F.lit("update")))
 
 
 def margin_stability(history: DataFrame) -> DataFrame:

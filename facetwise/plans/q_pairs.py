@@ -1,7 +1,9 @@
-"""(legacy) pair family over two syncs: the current sync and a previous one
-(own prices before tax adjustment; every fifth source line not yet matched)."""
+"""(legacy) pair family over two syncs: the current one and an earlier one with other
+own prices and fewer listings. Both are priced once and read back as snapshots."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from facetwise.functions import dims
@@ -11,34 +13,48 @@ from facetwise.operators import pairs as PR
 from facetwise.plans import base
 from facetwise.plans import sqlparts as S
 from facetwise.plans.registry import register
+from facetwise.session import shared_path
 from facetwise.sources import feeds
+from facetwise.sources.snapshots import snapshot
+from facetwise.sources.versions import VersionedTable
 
 MK = S.MK
 T0, T1 = "2026-01-01 00:00:00", "2026-01-01 12:00:00"
 
 
-def new_pairs(spark, d):
+def build_pairs(spark, d, sync: str):
+    """Priced pairs of a sync. The earlier one lacks every fifth line of the inventory and
+    every fourth of the market (so the last listing of some keys was another one) and has
+    own prices that include the tax."""
     inv = matching.dedupe_listings(base.inventory(spark, d), feeds.LISTING_ORDER)
-    p = matching.pair_match_last(inv, base.market(spark, d), feeds.LISTING_ORDER)
-    return p.withColumn("pair_id", F.col("stone_id"))
+    market = base.market(spark, d)
+    if sync == "old":
+        market = market.where(F.col("src_line") % 4 != 0)
+    p = matching.pair_match_last(inv, market, feeds.LISTING_ORDER)
+    if sync == "old":
+        p = p.where(F.col("src_line") % 5 != 0).withColumn("price", rnd(F.col("price") * (F.lit(1.0) + F.col("src_tax"))))
+    return PR.pair_pricing(p.withColumn("pair_id", PR.pair_id()))
 
 
-def old_pairs(spark, d):
-    p = new_pairs(spark, d).where(F.col("src_line") % 5 != 0)
-    return p.withColumn("price", rnd(F.col("price") * (F.lit(1.0) + F.col("src_tax"))))
+def new_pairs(spark, d):
+    return snapshot(spark, d, "pairs_new", lambda s, x: build_pairs(s, x, "new"))
 
 
-def priced(df):
-    return PR.pair_pricing(df)
+def old_pairs(spark, d):
+    return snapshot(spark, d, "pairs_old", lambda s, x: build_pairs(s, x, "old"))
 
 
 S.add("inv_last", ["inventory"], f"""SELECT * FROM (SELECT * FROM inventory
   QUALIFY row_number() OVER (PARTITION BY stone_id ORDER BY {S.LISTING_ORDER_DESC}) = 1) t WHERE price > 0""")
-S.add("mkt_last", ["market"], f"""SELECT {MK}, stone_id AS market_stone_id, price AS market_price FROM market WHERE price > 0
-  QUALIFY row_number() OVER (PARTITION BY {MK} ORDER BY {S.LISTING_ORDER_DESC}) = 1""")
-S.add("pairs_new", ["inv_last", "mkt_last"], f"""SELECT i.*, m.market_stone_id, m.market_price, i.stone_id AS pair_id
-  FROM inv_last i JOIN mkt_last m ON {S.eqj('i', 'm', dims.MATCH_KEYS)}""")
-S.add("pairs_old", ["pairs_new"], f"""SELECT * REPLACE ({S.rnd('price * (1.0 + src_tax)')} AS price) FROM pairs_new WHERE src_line % 5 <> 0""")
+LAST_LISTING = f"""SELECT {MK}, stone_id AS market_stone_id, price AS market_price FROM market WHERE price > 0{{}}
+  QUALIFY row_number() OVER (PARTITION BY {MK} ORDER BY {S.LISTING_ORDER_DESC}) = 1"""
+S.add("mkt_last", ["market"], LAST_LISTING.format(""))
+S.add("mkt_last_old", ["market"], LAST_LISTING.format(" AND src_line % 4 <> 0"))
+JOINED = f"""SELECT i.*, m.market_stone_id, m.market_price, m.market_stone_id || '|' || i.stone_id AS pair_id
+  FROM inv_last i JOIN {{}} m ON {S.eqj('i', 'm', dims.MATCH_KEYS)}"""
+S.add("pairs_new", ["inv_last", "mkt_last"], JOINED.format("mkt_last"))
+S.add("pairs_old", ["inv_last", "mkt_last_old"], f"""SELECT * REPLACE ({S.rnd('price * (1.0 + src_tax)')} AS price)
+  FROM ({JOINED.format('mkt_last_old')}) t WHERE src_line % 5 <> 0""")
 
 
 def pricing_sql(src: str) -> str:
@@ -79,30 +95,30 @@ def pair_match_last(spark, d):
 
 @register("pair_pricing", S.with_ctes(f"SELECT {', '.join(PRICED_COLS)} FROM pp_new", "pp_new"))
 def pair_pricing(spark, d):
-    return priced(new_pairs(spark, d)).select(*PRICED_COLS)
+    return new_pairs(spark, d).select(*PRICED_COLS)
 
 
 @register("spec_premium", S.with_ctes("SELECT pair_id, cut, polish, symmetry, lab, fluorescence, spec_premium FROM pp_new", "pp_new"))
 def spec_premium(spark, d):
-    return priced(new_pairs(spark, d)).select("pair_id", "cut", "polish", "symmetry", "lab", "fluorescence", "spec_premium")
+    return new_pairs(spark, d).select("pair_id", "cut", "polish", "symmetry", "lab", "fluorescence", "spec_premium")
 
 
 @register("holding_period", S.with_ctes("SELECT pair_id, shape, color, clarity, lab, holding_period_days FROM pp_new", "pp_new"))
 def holding_period(spark, d):
-    return priced(new_pairs(spark, d)).select("pair_id", "shape", "color", "clarity", "lab", "holding_period_days")
+    return new_pairs(spark, d).select("pair_id", "shape", "color", "clarity", "lab", "holding_period_days")
 
 
 @register("negotiation_advice", S.with_ctes("""SELECT pair_id, max_buy_price AS do_not_buy_above, min_sell_price AS do_not_sell_below,
     recommended_sell_price AS ideal_sell_price, premium_sell_price, [min_sell_price, premium_sell_price] AS negotiation_range FROM pp_new""", "pp_new"))
 def negotiation_advice(spark, d):
-    return PR.negotiation_advice(priced(new_pairs(spark, d)))
+    return PR.negotiation_advice(new_pairs(spark, d))
 
 
 @register("pair_filter_sort", S.with_ctes(f"""SELECT {', '.join(PRICED_COLS)} FROM pp_new WHERE shape = 'ROUND' AND recommendation IN ('STRONG_BUY', 'BUY')
   AND profit_margin_pct >= 5 AND profit_margin_pct <= 20 ORDER BY profit_margin_pct DESC, pair_id LIMIT 100""", "pp_new"))
 def pair_filter_sort(spark, d):
     """shape ROUND, recommendation in (STRONG_BUY, BUY), margin 5..20, by margin desc, first 100."""
-    p = priced(new_pairs(spark, d))
+    p = new_pairs(spark, d)
     p = p.where((F.col("shape") == "ROUND") & F.col("recommendation").isin("STRONG_BUY", "BUY")
                 & (F.col("profit_margin_pct") >= 5) & (F.col("profit_margin_pct") <= 20))
     return p.orderBy(F.col("profit_margin_pct").desc(), "pair_id").limit(100).select(*PRICED_COLS)
@@ -112,7 +128,7 @@ def pair_filter_sort(spark, d):
   ORDER BY profit_margin_pct DESC, pair_id LIMIT 10) UNION ALL SELECT * FROM (SELECT {', '.join(PRICED_COLS)}, 'by_composite' AS list
   FROM pp_new ORDER BY composite_buy_score DESC, pair_id LIMIT 10)""", "pp_new"))
 def pair_top_opportunities(spark, d):
-    p = priced(new_pairs(spark, d)).select(*PRICED_COLS)
+    p = new_pairs(spark, d).select(*PRICED_COLS)
     a = p.orderBy(F.col("profit_margin_pct").desc(), "pair_id").limit(10).withColumn("list", F.lit("by_margin"))
     b = p.orderBy(F.col("composite_buy_score").desc(), "pair_id").limit(10).withColumn("list", F.lit("by_composite"))
     return a.unionByName(b)
@@ -121,23 +137,24 @@ def pair_top_opportunities(spark, d):
 @register("pair_recommendation_counts", S.with_ctes(
     "SELECT recommendation, count(*) AS count, sum(count(*)) OVER () AS total FROM pp_new GROUP BY recommendation", "pp_new"))
 def pair_recommendation_counts(spark, d):
-    p = priced(new_pairs(spark, d))
+    p = new_pairs(spark, d)
     total = p.select(F.count(F.lit(1))).scalar()
     return p.groupBy("recommendation").agg(F.count(F.lit(1)).alias("count")).withColumn("total", total.cast("double"))
 
 
-S.add("alerts", ["pp_new", "pp_old"], """SELECT pair_id, stone_id, market_stone_id, alert_type, title, old_value, new_value, false AS is_read FROM (
-  SELECT n.pair_id, n.stone_id, n.market_stone_id, 'PRICE_CHANGE' AS alert_type, 'Price Changed' AS title, o.price AS old_value, n.price AS new_value
-    FROM pp_new n JOIN pp_old o ON n.pair_id = o.pair_id
+S.add("alerts", ["pp_new", "pp_old"], """SELECT pair_id, stone_id, market_stone_id, alert_type, title, message, old_value, new_value, false AS is_read FROM (
+  SELECT n.pair_id, n.stone_id, n.market_stone_id, 'PRICE_CHANGE' AS alert_type, 'Price Changed' AS title, 'Price for stone changed.' AS message,
+    o.price AS old_value, n.price AS new_value FROM pp_new n JOIN pp_old o ON n.stone_id = o.stone_id AND n.market_stone_id = o.market_stone_id
     WHERE abs(n.price - o.price) / CASE WHEN coalesce(o.price, 0.0) <> 0 THEN o.price ELSE 1.0 END > 0.01
   UNION ALL SELECT n.pair_id, n.stone_id, n.market_stone_id, n.recommendation || '_ALERT', 'Recommendation changed to ' || n.recommendation,
-    CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM pp_new n JOIN pp_old o ON n.pair_id = o.pair_id WHERE n.recommendation <> o.recommendation
-  UNION ALL SELECT n.pair_id, n.stone_id, n.market_stone_id, 'NEW_MATCH', 'New Match Found', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
-    FROM pp_new n WHERE NOT EXISTS (SELECT 1 FROM pp_old o WHERE o.pair_id = n.pair_id)) a""")
+    'Stone recommendation is now ' || n.recommendation || '.', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+    FROM pp_new n JOIN pp_old o ON n.stone_id = o.stone_id AND n.market_stone_id = o.market_stone_id WHERE n.recommendation <> o.recommendation
+  UNION ALL SELECT n.pair_id, n.stone_id, n.market_stone_id, 'NEW_MATCH', 'New Match Found', 'A new match was found.', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+    FROM pp_new n WHERE NOT EXISTS (SELECT 1 FROM pp_old o WHERE o.stone_id = n.stone_id AND o.market_stone_id = n.market_stone_id)) a""")
 
 
 def alerts_df(spark, d):
-    return PR.alert_diff(priced(new_pairs(spark, d)), priced(old_pairs(spark, d)))
+    return PR.alert_diff(new_pairs(spark, d), old_pairs(spark, d))
 
 
 @register("alert_diff", S.with_ctes("SELECT * FROM alerts", "alerts"))
@@ -166,14 +183,19 @@ def alert_mark_read(spark, d):
 UPS = ["price", "market_price", "profit_margin_pct", "recommendation"]
 
 
-@register("matched_upsert", S.with_ctes(f"""SELECT coalesce(n.pair_id, o.pair_id) AS pair_id,
-    {', '.join(f'coalesce(n.{c}, o.{c}) AS {c}' for c in UPS)},
-    CASE WHEN o.pair_id IS NOT NULL THEN TIMESTAMP '{T0}' ELSE TIMESTAMP '{T1}' END AS matched_at
-  FROM pp_new n FULL OUTER JOIN pp_old o ON n.pair_id = o.pair_id""", "pp_new", "pp_old"))
+@register("matched_upsert", S.with_ctes(f"""SELECT coalesce(n.market_stone_id, o.market_stone_id) AS market_stone_id, coalesce(n.stone_id, o.stone_id) AS stone_id,
+    {', '.join(f'CASE WHEN n.pair_id IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}' for c in UPS)},
+    CASE WHEN o.pair_id IS NOT NULL THEN TIMESTAMP '{T0}' ELSE TIMESTAMP '{T1}' END AS matched_at,
+    CASE WHEN n.pair_id IS NOT NULL THEN TIMESTAMP '{T1}' ELSE TIMESTAMP '{T0}' END AS updated_at,
+    CASE WHEN n.pair_id IS NULL THEN 'retire' WHEN o.pair_id IS NULL THEN 'insert' ELSE 'update' END AS mark
+  FROM pp_new n FULL OUTER JOIN pp_old o ON n.stone_id = o.stone_id AND n.market_stone_id = o.market_stone_id""", "pp_new", "pp_old"))
 def matched_upsert(spark, d):
-    new = priced(new_pairs(spark, d)).withColumn("matched_at", F.to_timestamp(F.lit(T1)))
-    old = priced(old_pairs(spark, d)).withColumn("matched_at", F.to_timestamp(F.lit(T0)))
-    return PR.upsert(old, new, UPS)
+    """Two syncs merged into a bucketed table, then what the second one did to each pair."""
+    table = VersionedTable(spark, shared_path(spark, "pair-table", uuid.uuid4().hex[:12]))
+    for pairs, at in ((old_pairs(spark, d), T0), (new_pairs(spark, d), T1)):
+        at = F.to_timestamp(F.lit(at))
+        table.merge(pairs.select(*PR.PAIR_KEY, *UPS, at.alias("matched_at"), at.alias("updated_at")), PR.PAIR_KEY, PR.sync_merge)
+    return PR.sync_mark(table.load(), F.to_timestamp(F.lit(T1)))
 
 
 S.add("history", ["pp_new", "pp_old"], f"""SELECT pair_id, market_price AS vdb_price, price AS diamax_price, expected_profit AS market_difference,
@@ -186,7 +208,7 @@ def history_df(spark, d):
         return df.select("pair_id", F.col("market_price").alias("vdb_price"), F.col("price").alias("diamax_price"),
                          F.col("expected_profit").alias("market_difference"), "profit_margin_pct",
                          F.to_timestamp(F.lit(ts)).alias("recorded_at"))
-    return snap(priced(old_pairs(spark, d)), T0).unionByName(snap(priced(new_pairs(spark, d)), T1))
+    return snap(old_pairs(spark, d), T0).unionByName(snap(new_pairs(spark, d), T1))
 
 
 @register("price_snapshot", S.with_ctes("SELECT * FROM history", "history"))
@@ -219,7 +241,7 @@ def margin_stability(spark, d):
     {S.rnd('coalesce(sum(expected_profit), 0.0)', 2, True)} AS total_profit,
     (SELECT count(*) FROM alerts WHERE NOT is_read) AS unread_alerts FROM pp_new""", "pp_new", "market", "inventory", "alerts"))
 def pair_dashboard_stats(spark, d):
-    p = priced(new_pairs(spark, d))
+    p = new_pairs(spark, d)
     m = base.market(spark, d).select(F.count(F.lit(1))).scalar()
     i = base.inventory(spark, d).select(F.count(F.lit(1))).scalar()
     u = alerts_df(spark, d).where(~F.col("is_read")).select(F.count(F.lit(1))).scalar()
@@ -232,12 +254,12 @@ def pair_dashboard_stats(spark, d):
         rnd(F.coalesce(F.col("_p"), F.lit(0.0)), 2, True).alias("total_profit"), u.alias("unread_alerts"))
 
 
-@register("pair_report", S.with_ctes("""SELECT pair_id AS "Inventory ID", market_stone_id AS "Market ID", shape AS "Shape", carat AS "Carat",
+@register("pair_report", S.with_ctes("""SELECT stone_id AS "Inventory ID", market_stone_id AS "Market ID", shape AS "Shape", carat AS "Carat",
     color AS "Color", clarity AS "Clarity", price AS "Own Price", market_price AS "Market Price",
     profit_margin_pct AS "Margin %", recommendation AS "Recommendation" FROM pp_new""", "pp_new"))
 def pair_report(spark, d):
-    p = priced(new_pairs(spark, d))
-    return p.select(F.col("pair_id").alias("Inventory ID"), F.col("market_stone_id").alias("Market ID"),
+    p = new_pairs(spark, d)
+    return p.select(F.col("stone_id").alias("Inventory ID"), F.col("market_stone_id").alias("Market ID"),
                     F.col("shape").alias("Shape"), F.col("carat").alias("Carat"), F.col("color").alias("Color"),
                     F.col("clarity").alias("Clarity"), F.col("price").alias("Own Price"),
                     F.col("market_price").alias("Market Price"), F.col("profit_margin_pct").alias("Margin %"),

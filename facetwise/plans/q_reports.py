@@ -17,6 +17,7 @@ from facetwise.plans.registry import ORACLES, register
 from facetwise.session import shared_path
 from facetwise.sources import feeds
 from facetwise.sources.snapshots import load_snapshot, write_snapshot
+from facetwise.sources.versions import VersionedTable, files_of, first_available
 from facetwise.operators import matrix as MX
 
 FLAT = [("stone_id", "Stone ID"), ("shape", "Shape"), ("carat", "Carat"), ("color", "Color"), ("clarity", "Clarity"),
@@ -133,10 +134,36 @@ def display_price(spark, d):
 
 @register("snapshot_roundtrip", S.with_ctes(f"SELECT {', '.join(base.STONE_COLS)} FROM market", "market"))
 def snapshot_roundtrip(spark, d):
-    """Write the canonical market as a zstd parquet snapshot (overwrite) and read it back."""
-    path = shared_path(spark, "roundtrip", uuid.uuid4().hex[:8], "market")
-    write_snapshot(base.build_market(spark, d), path)
-    return load_snapshot(spark, path).select(*base.STONE_COLS)
+    """Two versions of the canonical market, then one whose writer was stopped before its
+    manifest and one that lost a file: the second version is read back."""
+    table = VersionedTable(spark, shared_path(spark, "roundtrip", uuid.uuid4().hex[:8], "market"))
+    market = base.market(spark, d)
+    table.replace(market.where(F.col("shape") == "ROUND"))
+    table.replace(market)
+    _unfinished(table, market.limit(1))
+    return table.load().select(*base.STONE_COLS)
+
+
+def _unfinished(table, rows):
+    """What a stopped writer and a lost file leave behind, above the newest version."""
+    rows.write.parquet(f"{table.root}/data/stopped")
+    table._commit(max(table.versions(), default=0) + 1, {"all": ["data/stopped", {"part-lost.parquet": 1}]}, {})
+
+
+@register("current_else_history", S.with_ctes("""SELECT 'current' AS source, shape, count(*) AS stones FROM market GROUP BY shape
+  UNION ALL SELECT s.source, shape, count(*) FROM market, (VALUES ('damaged'), ('absent')) s(source) WHERE src_line % 2 = 0 GROUP BY ALL""", "market"))
+def current_else_history(spark, d):
+    """The current snapshot if it has a complete version, else the kept history: with a
+    whole current one, with one that is damaged, and with none."""
+    root = shared_path(spark, "current", uuid.uuid4().hex[:8])
+    current, damaged, absent, history = (VersionedTable(spark, f"{root}/{x}") for x in ("market_current", "market_damaged", "market_absent", "market"))
+    market = base.market(spark, d)
+    history.replace(market.where(F.col("src_line") % 2 == 0))
+    current.replace(market)
+    _unfinished(damaged, market.limit(1))
+    found = [first_available(t, history).groupBy("shape").agg(F.count(F.lit(1)).alias("stones")).select(F.lit(name).alias("source"), "shape", "stones")
+             for name, t in (("current", current), ("damaged", damaged), ("absent", absent))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @register("snapshot_tolerant", S.with_ctes(f"SELECT {', '.join(base.STONE_COLS)} FROM matched", "matched"))
@@ -153,13 +180,20 @@ def snapshot_tolerant(spark, d):
     return loads[0].unionByName(loads[1]).unionByName(loads[2])
 
 
-@register("csv_feed_scan")
+CSV_SQL = ", ".join(f'CAST({c} AS VARCHAR) AS "{n}"' for c, n in [
+    ("stone_id", "Unique Stone ID"), ("shape_raw", "Shape"), ("carat_raw", "Weight"), ("color_raw", "Color"), ("clarity_raw", "Clarity"), ("cut_raw", "Cut"),
+    ("polish_raw", "Polish"), ("symmetry_raw", "Symmetry"), ("fluorescence_raw", "Fluorescence"), ("lab_raw", "Lab"), ("country_raw", "Stone Location"),
+    ("price_raw", "Total"), ("status", "Status"), *[(c, c) for c in base.SRC_COLS]])
+
+
+@register("csv_feed_scan", S.with_ctes(f"SELECT {CSV_SQL} FROM market_raw", "market_raw"))
 def csv_feed_scan(spark, d):
     """Market export as CSV: every column read as a string, malformed rows tolerated."""
     path = shared_path(spark, "csv", uuid.uuid4().hex[:8], "market")
     raw = feeds.market_feed(spark, d)
-    raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns]).write.option("header", True).csv(path)
-    return spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+    raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns]).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return spark.read.options(header=True, inferSchema=False, mode="PERMISSIVE", **kept).csv(path)
 
 
 EV_COLS = ["Shape", "EV_Size_Bucket", "Color", "Clarity", "EV_Stock", "EV_Sold", "Stock_Metric", "Diamax_Sold",
@@ -173,10 +207,9 @@ def evidence_load(spark, d):
     from facetwise.operators.evidence import EVIDENCE_SCHEMA
     path = shared_path(spark, "evidence-json", uuid.uuid4().hex[:8])
     fixtures.evidence(spark, d).write.json(path)
-    try:
-        return spark.read.schema(EVIDENCE_SCHEMA).json(path)
-    except Exception:  # noqa: BLE001 - absent file
+    if files_of(spark, path) is None:
         return spark.createDataFrame([], EVIDENCE_SCHEMA)
+    return spark.read.schema(EVIDENCE_SCHEMA).json(path)
 
 
 RULES = {"premium_threshold": 12.0, "sell_now_threshold": 8.0, "good_opp_threshold": 4.0, "wait_threshold": 2.0}

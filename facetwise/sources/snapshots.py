@@ -2,11 +2,11 @@
 source folder as zstd parquet under the shared folder (``spark.checkpoint.dir``)
 and every report reads them back — the write cuts lineage, the reads get
 column pruning and predicate pushdown, and a lost executor only recomputes
-from the snapshot, not from the raw feeds."""
+from the snapshot, not from the raw feeds. A snapshot is a versioned table
+(see ``versions``): a rebuild adds a version and never touches one in use."""
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 from collections.abc import Callable
 
@@ -15,24 +15,23 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from facetwise.session import shared_path
+from facetwise.sources.versions import VersionedTable, files_of
 
 # Error classes of a missing folder, one without any part and a part that cannot be read.
 UNREADABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER")
 
 _LOCK = threading.RLock()
-_DONE: dict[tuple, str] = {}
+_DONE: set[str] = set()  # snapshots this driver has built
 
 
-def _source_tag(src: str) -> str:
-    """Folder identity: path plus size/mtime of its files (a changed source
-    gets new snapshots)."""
+def _source_tag(spark: SparkSession, src: str) -> str:
+    """Folder identity: path plus size and time of its files, listed through the file
+    system Spark reads them by, one level of folders deep (a changed source gets new
+    snapshots)."""
     parts = [src]
-    try:
-        for name in sorted(os.listdir(src)):
-            st = os.stat(os.path.join(src, name))
-            parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
-    except OSError:
-        pass
+    for name, stamp in sorted((files_of(spark, src) or {}).items()):
+        inside = files_of(spark, f"{src}/{name}") if stamp[0] == 0 else None
+        parts += [f"{name}:{stamp}", *[f"{n}:{s}" for n, s in sorted((inside or {}).items())]]
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
@@ -41,15 +40,12 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 
 def snapshot(spark: SparkSession, src: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    base = shared_path(spark, "snapshots", _source_tag(src))
-    key = (base, name)
+    table = VersionedTable(spark, shared_path(spark, "snapshots", _source_tag(spark, src), name))
     with _LOCK:
-        path = _DONE.get(key)
-        if path is None:
-            path = f"{base}/{name}"
-            write_snapshot(build(spark, src), path)
-            _DONE[key] = path
-    return spark.read.parquet(path)
+        if table.root not in _DONE:
+            table.replace(build(spark, src))
+            _DONE.add(table.root)
+    return table.load()
 
 
 def load_snapshot(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
