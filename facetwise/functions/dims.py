@@ -108,6 +108,10 @@ SALES_ALIASES = {
              "price per ct"],
 }
 
+# --- FIXED VALUES: words that mark a header line ---
+HEADER_HINTS = ["unique stone id", "stone location", "packet #", "reportnumber", "report number", "invoice no", "sale rate", "sale amt", "shapename",
+                "shape", "weight", "carat weight", "colour", "color", "clarity", "status", "ppc", "amt $"]
+
 # --- FIXED VALUES: feed-role hint headers and filename words ---
 ROLE_HEADER_HINTS = {
     "sales": ["invoice no", "sale rate", "sale amt"],

@@ -166,24 +166,6 @@ def feed_column_prune(spark, d):
     return raw.select(*[F.col(f"`{c}`") for c in raw.columns if c.strip().lower() in KEPT_HEADERS])
 
 
-@register("feed_union", S.with_ctes(
-    "SELECT stone_id, shape_raw, carat_raw, price_raw, status, country_raw FROM market_raw WHERE status = 'ON HAND' "
-    "UNION ALL BY NAME SELECT stone_id, shape_raw, carat_raw, price_raw, status FROM market_raw WHERE status <> 'ON HAND'",
-    "market_raw"))
-def feed_union(spark, d):
-    """Two exports of one role with different columns (the second lacks the
-    location); UNION ALL by name, missing columns null."""
-    raw = feeds.market_feed(spark, d)
-    a = raw.where(F.col("Status") == "ON HAND").select(
-        F.col("`Unique Stone ID`").alias("stone_id"), F.col("Shape").alias("shape_raw"),
-        F.col("Weight").alias("carat_raw"), F.col("Total").alias("price_raw"), F.col("Status").alias("status"),
-        F.col("`Stone Location`").alias("country_raw"))
-    b = raw.where(F.col("Status") != "ON HAND").select(
-        F.col("`Unique Stone ID`").alias("stone_id"), F.col("Shape").alias("shape_raw"),
-        F.col("Weight").alias("carat_raw"), F.col("Total").alias("price_raw"), F.col("Status").alias("status"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
 @register("live_status_filter", S.with_ctes(
     f"SELECT 'market' AS side, {LC} FROM market WHERE upper(trim(status)) = 'ON HAND' "
     f"UNION ALL SELECT 'inventory' AS side, {LC} FROM inventory WHERE upper(trim(status)) = 'AVAILABLE'",

@@ -31,3 +31,4 @@ def load_all() -> None:
     from facetwise.plans import q_stream  # noqa: F401
     from facetwise.plans import q_pairs  # noqa: F401
     from facetwise.plans import q_reports  # noqa: F401
+    from facetwise.plans import q_ingest  # noqa: F401

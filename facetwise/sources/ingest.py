@@ -5,11 +5,15 @@ no job); everything that touches values is a Column expression.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import dims
 from facetwise.functions.exprs import canon_shape, clean_number, map_or_self, norm_text, parse_date, rnd
+from facetwise.session import shared_path
 
 LISTING_COLUMNS = ["stone_id", "shape", "carat", "color", "clarity", "cut", "polish", "symmetry", "fluorescence",
                    "lab", "growth_type", "country", "price"]
@@ -39,25 +43,26 @@ def _first_present(columns: list[str], aliases: list[str]) -> str | None:
 
 
 def sequential_index(df: DataFrame, name: str) -> DataFrame:
-    """0-based consecutive row index in scan order without a single-partition
-    window: per-partition counts (one row per input partition, a proven bound)
-    are prefix-summed and broadcast back."""
-    from pyspark.sql import Window
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_pid", F.shiftright(F.col("_mid"), 33)).withColumn(
-        "_loc", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
-    out = tagged.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-    return out.withColumn(name, F.col("_off") + F.col("_loc")).drop("_mid", "_pid", "_loc", "_off")
+    """0-based row number by file path and place in the file, the same on every evaluation:
+    the files' own row index plus prefix sums of their rows (one row per file). A frame
+    that is not read from Parquet is written to the shared folder first."""
+    try:
+        tagged = df.withColumns({"_f": F.col("_metadata.file_path"), "_i": F.col("_metadata.row_index")})
+        tagged.schema
+    except AnalysisException:
+        path = shared_path(df.sparkSession, "numbered", uuid.uuid4().hex)
+        df.write.parquet(path)
+        return sequential_index(df.sparkSession.read.schema(df.schema).parquet(path), name)
+    before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy("_f").agg((F.max("_i") + 1).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return tagged.join(offsets.select("_f", "_off"), "_f").withColumn(name, F.col("_off") + F.col("_i")).drop("_f", "_i", "_off")
 
 
 def resolve_listing(df: DataFrame, role: str) -> DataFrame:
     """Rename the first present alias of every canonical column (market and
     inventory choose their own id/price aliases); synthesise ids, default the
-    country and the price."""
+    country and the price. An id is made from ``_row``, a stable row number that uploads
+    bring with them."""
     id_key, price_key = ("market_id", "market_price") if role == "market" else ("inventory_id", "inventory_price")
     renames: dict[str, str] = {}
     for canon, aliases in dims.LISTING_ALIASES.items():
@@ -72,11 +77,12 @@ def resolve_listing(df: DataFrame, role: str) -> DataFrame:
     status = _first_present(df.columns, ["status"])
     if status is not None and status not in renames:
         renames[status] = "status"
-    out = df.select(*[F.col(f"`{c}`").alias(renames.get(c, c)) for c in df.columns])
+    targets = set(renames.values())  # a column of such a name that is not the source is set aside
+    out = df.select(*[F.col(f"`{c}`").alias(renames.get(c, f"{c}_other" if c in targets else c)) for c in df.columns])
     if "stone_id" not in out.columns:
         prefix = "VDB-" if role == "market" else "DMX-"
-        out = sequential_index(out, "_i").withColumn(
-            "stone_id", F.concat(F.lit(prefix), (F.col("_i") + 1).cast("string"))).drop("_i")
+        out = out if "_row" in out.columns else sequential_index(out, "_row").withColumn("_row", F.col("_row") + 1)
+        out = out.withColumn("stone_id", F.concat(F.lit(prefix), F.col("_row").cast("string")))
     if "country" not in out.columns:
         out = out.withColumn("country", F.lit("INDIA"))
     if "price" not in out.columns:
@@ -111,7 +117,7 @@ def canonicalize(df: DataFrame) -> DataFrame:
 def canonical_listings(raw: DataFrame, role: str) -> DataFrame:
     out = canonicalize(resolve_listing(raw, role))
     keep = [c for c in LISTING_COLUMNS if c in out.columns]
-    rest = [c for c in out.columns if c not in keep]
+    rest = [c for c in out.columns if c not in keep and c != "_row"]
     return out.select(*keep, *rest)
 
 
@@ -121,15 +127,21 @@ SALE_COLUMNS = ["invoice", "stone", "sale_date", "shape", "color", "clarity", "c
 
 
 def resolve_sales(df: DataFrame) -> DataFrame:
-    """Sale lines with canonical names; carat/amount/rate cleaned to doubles,
+    """Sale lines with canonical names, each the first of its candidate columns that has a
+    value; carat/amount/rate cleaned to doubles,
     the sale date parsed, shape canonicalised like listings (always), color and
     clarity upper-cased."""
-    renames = {}
+    by_lower = {c.strip().lower(): c for c in df.columns}
+    taken: dict[str, list[str]] = {}
     for canon, aliases in dims.SALES_ALIASES.items():
-        source = _first_present(df.columns, aliases)
-        if source is not None and source not in renames:
-            renames[source] = canon
-    out = df.select(*[F.col(f"`{c}`").alias(renames.get(c, c)) for c in df.columns])
+        used = {c for cs in taken.values() for c in cs}
+        there = [by_lower[a] for a in aliases if a in by_lower and by_lower[a] not in used]
+        if there:
+            taken[canon] = there
+    first = {cs[0] for cs in taken.values()}
+    value = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) if dict(df.dtypes)[c] == "string" else F.col(f"`{c}`")
+    out = df.select(*[(F.coalesce(*map(value, cs)) if len(cs) > 1 else F.col(f"`{cs[0]}`")).alias(canon) for canon, cs in taken.items()],
+                    *[F.col(f"`{c}`") for c in df.columns if c not in first and c not in taken])
     types = dict(out.dtypes)
     exprs: dict[str, Column] = {}
     if "shape" in types:
