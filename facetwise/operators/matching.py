@@ -67,7 +67,7 @@ def profile_comparables(market: DataFrame, inventory: DataFrame, order: list[str
     keys = [k for k in dims.PROFILE_KEYS if k in market.columns and k in inventory.columns]
     profiles = inventory.select(*keys).distinct()
     comparable = market.join(profiles, keys, "left_semi")
-    return keep_last(comparable, ["stone_id"], order)
+    return keep_last(comparable, [*(["shape_sel"] if "shape_sel" in market.columns else []), "stone_id"], order)
 
 
 def pair_match_last(inventory: DataFrame, market: DataFrame, order: list[str]) -> DataFrame:

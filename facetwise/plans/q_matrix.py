@@ -4,17 +4,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from facetwise.functions import dims
-from facetwise.functions.exprs import rnd, size_range
-from facetwise.functions.quality import live_status_filter
-from facetwise.functions.stats import keep_last
+from facetwise.functions.exprs import rnd
+from facetwise.functions.quality import live_status_filter, quality_filter, shape_filter
 from facetwise.operators import evidence as EV
 from facetwise.operators import matching
 from facetwise.operators import matrix as MX
 from facetwise.plans import base, fixtures
 from facetwise.plans import sqlparts as S
-from facetwise.plans.q_sales import sales_cohorts_df
-from facetwise.plans.registry import register
+from facetwise.operators.sales import sales_cohorts
+from facetwise.plans.q_sales import sales_cohorts_df, sales_deduped
+from facetwise.plans.registry import ORACLES, register
 from facetwise.sources import feeds
+from facetwise.sources.snapshots import snapshot
 
 CELL = ", ".join(MX.CELL)
 
@@ -120,37 +121,140 @@ def matrix_scaffold(spark, d):
     return grid.join(cells, MX.CELL, "left").select(*MX.CELL, F.coalesce(F.col("pieces"), F.lit(0)).alias("pieces"))
 
 
+def build_cells(spark, d, filters=None, by_shape=False):
+    """Pricing cells under dashboard filters: ``shape`` selects every source but evidence;
+    grades, lab, country and growth type select the market, the inventory (not by country
+    or growth type) and sales that have such columns. ``by_shape``: ALL and each shape."""
+    filters = filters or {}
+    pick = lambda df, side: quality_filter(shape_filter(df, filters.get("shape")), filters, side)
+    shaped = MX.with_shapes if by_shape else (lambda df: df)
+    market, inventory = pick(base.market(spark, d), "market"), pick(base.inventory(spark, d), "inventory")
+    sales = pick(sales_deduped(spark, d), "sales")
+    stock = MX.stock_cells(shape_filter(base.matched(spark, d), filters.get("shape")))
+    cohorts = sales_cohorts(sales)
+    live_m, live_i = (MX.binned(live_status_filter(df, side)) for df, side in ((market, "market"), (inventory, "inventory")))
+    comparable = matching.profile_comparables(shaped(live_m), live_i, feeds.LISTING_ORDER)
+    shapes = None
+    if by_shape:
+        named = [df.select("shape") for df in (market, inventory, sales)]
+        shapes = MX.with_shapes(named[0].unionByName(named[1]).unionByName(named[2]).where(F.col("shape").isNotNull()).distinct()).select(MX.SHAPES).distinct()
+    return MX.range_color_clarity_matrix(spark, shaped(stock), shaped(cohorts), ev_df(spark, d), MX.live_inventory_cells(shaped(inventory), feeds.LISTING_ORDER),
+                                         MX.live_market_cells(shaped(market), feeds.LISTING_ORDER), MX.comparable_cells(comparable), shapes)
+
+
 def cells_df(spark, d):
-    return MX.range_color_clarity_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d),
-                                         inv_cells(spark, d), mkt_cells(spark, d), cmp_cells(spark, d))
+    """The unfiltered cells, computed once and read back by every projection of them."""
+    return snapshot(spark, d, "cells", build_cells)
+
+
+def shape_cells_df(spark, d):
+    return snapshot(spark, d, "cells_by_shape", lambda s, x: build_cells(s, x, by_shape=True))
+
+
+def cells_sql(p, filters=None, by_shape=False):
+    """CTEs of the same cells; their last one is ``{p}_cells``."""
+    filters = filters or {}
+    sel = "unnest(['ALL', shape])" if by_shape else "'ALL'"
+    shape = f" AND shape = '{filters['shape']}'" if "shape" in filters else ""
+    grades = {k: v for k, v in filters.items() if k != "shape"}
+    three = " AND cut = 'EXCELLENT' AND polish = 'EXCELLENT' AND symmetry = 'EXCELLENT'" if grades.get("cut") == "3X" else ""
+    grade = lambda names: three + "".join(f" AND {k} IN ('EXCELLENT', 'IDEAL')" if v == "EX_OR_IDEAL" else f" AND {k} = '{v}'" for k, v in grades.items() if k in names and v != "3X")
+    own = grade(("cut", "polish", "symmetry", "fluorescence", "lab"))
+    market = grade(("cut", "polish", "symmetry", "fluorescence", "lab", "country"))
+    keys, order = f"shape_sel, {CELL}", S.LISTING_ORDER_DESC
+    kj = lambda a, b: S.eqj(a, b, ["shape_sel", *MX.CELL])
+    last = lambda src: f"SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY shape_sel, stone_id ORDER BY {order}) = 1"
+    ppc = "CASE WHEN carat <> 0 THEN price / carat END AS ppc"
+    cell = lambda src: f"""SELECT c.*, q.market_ppc FROM (SELECT {keys}, count(*) AS pieces FROM {src} GROUP BY {keys}) c
+      LEFT JOIN ({q10_sql(src, keys, 'market_ppc')}) q ON {kj('c', 'q')}"""
+    binned = lambda src: f"SELECT * FROM (SELECT *, {S.size_range('carat')} AS size_range FROM ({src}) b) t WHERE size_range IS NOT NULL"
+    S.add(f"{p}_m", ["market"], f"SELECT *, {ppc}, {sel} AS shape_sel FROM market WHERE upper(trim(status)) = 'ON HAND'{shape}{market}")
+    S.add(f"{p}_i", ["inventory"], f"SELECT *, {sel} AS shape_sel FROM inventory WHERE upper(trim(status)) = 'AVAILABLE'{shape}{own}")
+    S.add(f"{p}_mr", [f"{p}_m"], binned(last(f"{p}_m")))
+    S.add(f"{p}_mc", [f"{p}_mr"], cell(f"{p}_mr"))
+    S.add(f"{p}_ic", [f"{p}_i"], f"SELECT {keys}, count(*) AS pieces, sum(carat) AS carats, sum(price) AS price FROM ({binned(last(f'{p}_i'))}) t GROUP BY {keys}")
+    S.add(f"{p}_cr", [f"{p}_m", f"{p}_i"], f"""SELECT * FROM ({binned(f'SELECT * FROM {p}_m')}) m
+      WHERE EXISTS (SELECT 1 FROM ({binned(f'SELECT * FROM {p}_i')}) i WHERE {S.eqj('m', 'i', PK)})
+      QUALIFY row_number() OVER (PARTITION BY shape_sel, stone_id ORDER BY {order}) = 1""")
+    S.add(f"{p}_cc", [f"{p}_cr"], cell(f"{p}_cr"))
+    where = shape.replace(" AND ", " WHERE ", 1)
+    S.add(f"{p}_st", ["mx_stock"], f"SELECT *, {sel} AS shape_sel FROM mx_stock{where}")
+    S.add(f"{p}_sl", ["sales_coh"], f"SELECT *, {sel} AS shape_sel FROM sales_coh{where}")
+    S.add(f"{p}_q", [f"{p}_st", f"{p}_sl"], f"""SELECT s.shape_sel, s.size_range, s.color, s.clarity, sum(s.carats) AS mw, sum(s.price) AS mv, sum(l.sold_carats) AS msw, sum(l.sales_value) AS msv
+      FROM {p}_st s JOIN {p}_sl l ON {S.eqj('s', 'l', ['shape_sel', *dims.COHORT_KEYS])} WHERE l.sold_stones >= 5 GROUP BY ALL""")
+    shapes = "SELECT 'ALL' AS shape_sel" + (" UNION SELECT shape FROM market WHERE shape IS NOT NULL UNION SELECT shape FROM inventory WHERE shape IS NOT NULL UNION SELECT shape FROM sales_d WHERE shape IS NOT NULL" if by_shape else "")
+    S.add(f"{p}_g", ["market", "inventory", "sales_d"], f"SELECT shape_sel, sm.size_range, co.color, cl.clarity FROM ({shapes}) sh CROSS JOIN {GRID}")
+    S.add(f"{p}_j", [f"{p}_g", f"{p}_st", f"{p}_sl", f"{p}_q", f"{p}_ic", f"{p}_mc", f"{p}_cc", "ev_ranged"], f"""SELECT g.*, coalesce(ic.pieces, 0) AS pieces, coalesce(st.n, 0) AS cstock, coalesce(sl.n, 0) AS csold,
+        coalesce(mc.pieces, 0) AS vpieces, coalesce(st.cmp_n, 0) AS cmp_n, e.ev_price, coalesce(e.ev_stock, 0) AS evs, coalesce(e.ev_sold, 0) AS evd,
+        CASE WHEN coalesce(ic.pieces, 0) > 0 THEN coalesce(sl.n, 0) / ic.pieces * 100 END AS spct,
+        CASE WHEN coalesce(ic.carats <> 0, false) THEN coalesce(ic.price, 0.0) / ic.carats WHEN st.n > 0 AND st.pc <> 0 THEN st.pv / st.pc END AS dp,
+        coalesce(CASE WHEN st.n > 0 AND st.cmp_carats <> 0 THEN st.cmp_value / st.cmp_carats END, cc.market_ppc, mc.market_ppc) AS vdb,
+        {_div('q.mv', 'q.mw')} AS mcur, coalesce({_div('q.msv', 'q.msw')}, {_div('sl.v', 'sl.c')}) AS hist
+      FROM {p}_g g
+      LEFT JOIN (SELECT {keys}, sum(pcs) AS n, sum(cmp_n) AS cmp_n, sum(cmp_carats) AS cmp_carats, sum(cmp_value) AS cmp_value, sum(priced_carats) AS pc, sum(price) AS pv FROM {p}_st GROUP BY {keys}) st ON {kj('g', 'st')}
+      LEFT JOIN (SELECT {keys}, sum(sold_stones) AS n, sum(sold_carats) AS c, sum(sales_value) AS v FROM {p}_sl GROUP BY {keys}) sl ON {kj('g', 'sl')}
+      LEFT JOIN {p}_q q ON {kj('g', 'q')} LEFT JOIN {p}_ic ic ON {kj('g', 'ic')} LEFT JOIN {p}_mc mc ON {kj('g', 'mc')} LEFT JOIN {p}_cc cc ON {kj('g', 'cc')}
+      LEFT JOIN (SELECT size_range, "Color" AS color, "Clarity" AS clarity, sum("EV_Stock") AS ev_stock, sum("EV_Sold") AS ev_sold, avg("Stock_Metric") AS ev_price
+        FROM ev_ranged WHERE size_range IS NOT NULL GROUP BY 1, 2, 3) e ON {S.eqj('g', 'e', MX.CELL)}""")
+    S.add(f"{p}_k", [f"{p}_j"], f"""SELECT *, coalesce(dp, mcur) AS cur, CASE WHEN evs + evd > 0 THEN evd / (evs + evd) * 100 END AS epct, {S.price_band('spct')} AS adj
+      FROM {p}_j WHERE pieces > 0 OR cstock > 0 OR csold > 0 OR ev_price IS NOT NULL""")
+    change, basis = "CAST(round(adj * 100) AS INTEGER)", "cur IS NOT NULL AND spct IS NOT NULL"
+    S.add(f"{p}_cells", [f"{p}_k"], f"""SELECT * EXCLUDE (demand_, ai_), demand_ AS demand_score, CASE WHEN demand_ IS NOT NULL THEN {S.rnd('100.0 - demand_', 1)} END AS inventory_risk_score, demand_ AS clearance_score,
+      {_r2_sql('ai_')} AS ai_price, CASE WHEN ai_ IS NOT NULL AND coalesce(cur_ <> 0, false) THEN {S.rnd('(ai_ - cur_) / cur_ * 100', 1)} END AS discount_markup_pct
+      FROM (SELECT shape_sel, size_range, color, clarity, CAST(pieces AS BIGINT) AS pieces, CAST(csold AS BIGINT) AS sold, {S.rnd('spct', 1)} AS sales_pct, CAST(vpieces AS BIGINT) AS vdb_pieces,
+        CASE WHEN cstock > 0 THEN {S.rnd('cmp_n / cstock * 100', 1)} END AS vdb_match_pct, {S.rnd('epct', 1)} AS ev_sold_pct, {S.rnd('spct', 1)} AS historical_sales_ratio,
+        CASE WHEN spct IS NOT NULL AND epct IS NOT NULL THEN {S.rnd('spct * 0.6 + epct * 0.4', 1)} WHEN spct IS NOT NULL THEN {S.rnd('spct', 1)} END AS demand_,
+        {_r2_sql('vdb')} AS vdb_price, {_r2_sql('ev_price')} AS ev_price, {_r2_sql('dp')} AS diamax_price, {_r2_sql('cur')} AS current_price, {_r2_sql('hist')} AS historical_price,
+        cur AS cur_, CASE WHEN {basis} THEN cur * (1.0 + adj) END AS ai_,
+        CASE WHEN pieces = 0 THEN 'No Data Available' WHEN csold = 0 THEN 'Dead Inventory' WHEN coalesce(spct, 0) < 20 THEN 'Overstock' WHEN coalesce(spct, 0) < 40 THEN 'Slow Moving'
+          WHEN csold > pieces THEN 'Understock' ELSE 'Healthy' END AS inventory_status,
+        CASE WHEN NOT ({basis}) THEN 'No price basis' WHEN {change} < 0 THEN 'Reduce ' || abs({change}) || '%' WHEN {change} > 0 THEN 'Increase ' || {change} || '%' ELSE 'Hold price' END AS recommendation,
+        CASE WHEN {basis} THEN 'SOLD_PCT_BAND:' || {change} ELSE 'NO_PRICE_BASIS' END AS ai_context FROM {p}_k) r""")
+    return f"{p}_cells"
 
 
-@register("range_color_clarity_matrix")
-def range_color_clarity_matrix(spark, d):
-    return cells_df(spark, d).select(*MX.CELL_OUT)
+def _div(a: str, b: str) -> str:
+    return f"(CASE WHEN {b} <> 0 THEN {a} / {b} END)"
 
 
-@register("matrix_cell_prices")
-def matrix_cell_prices(spark, d):
-    """Priority-fallback cell prices: own = live cell -> matched; market =
-    matched 1st-percentile benchmark -> exact-profile q10 -> live q10."""
-    return cells_df(spark, d).select(*MX.CELL, "diamax_price", "current_price", "vdb_price", "historical_price")
+def _r2_sql(e: str) -> str:
+    return f"CASE WHEN coalesce(({e}) <> 0, false) THEN {S.rnd(e)} END"
 
 
-@register("inventory_status")
-def inventory_status(spark, d):
-    return cells_df(spark, d).select(*MX.CELL, "pieces", "sold", "sales_pct", "inventory_status")
+CELLS = cells_sql("cl")
+FILTERS = {"shape": "ROUND", "cut": "3X", "lab": "GIA", "country": "ASIA"}
+FILTERED = cells_sql("clf", FILTERS)
+SHAPED = cells_sql("cls", by_shape=True)
 
 
-@register("demand_score")
-def demand_score(spark, d):
-    return cells_df(spark, d).select(*MX.CELL, "sales_pct", "ev_sold_pct", "demand_score", "inventory_risk_score")
+def from_cells(columns: list[str], cells: str = CELLS) -> str:
+    return S.with_ctes(f"SELECT {', '.join(columns)} FROM {cells}", cells)
 
 
-@register("data_coverage")
-def data_coverage(spark, d):
-    return MX.carat_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d)).select(
-        "size_range", "available_data", "missing_data", "data_coverage")
+def _cells_query(name: str, columns: list[str], doc: str):
+    def run(spark, d):
+        return cells_df(spark, d).select(*columns)
+    run.__doc__, run.__name__ = doc, name
+    return register(name, from_cells(columns))(run)
+
+
+range_color_clarity_matrix = _cells_query("range_color_clarity_matrix", MX.CELL_OUT, "Pricing cells of range, color and clarity.")
+matrix_cell_prices = _cells_query("matrix_cell_prices", [*MX.CELL, "diamax_price", "current_price", "vdb_price", "historical_price"],
+                                  "Priority-fallback cell prices: own = live cell -> matched; market = matched 1st-percentile benchmark -> exact-profile q10 -> live q10.")
+inventory_status = _cells_query("inventory_status", [*MX.CELL, "pieces", "sold", "sales_pct", "inventory_status"], "Status class of each cell.")
+demand_score = _cells_query("demand_score", [*MX.CELL, "sales_pct", "ev_sold_pct", "demand_score", "inventory_risk_score"], "Blended demand and risk.")
+
+
+@register("filtered_matrix", from_cells(MX.CELL_OUT, FILTERED))
+def filtered_matrix(spark, d):
+    """Pricing cells under dashboard filters: ROUND, 3X, one lab, one market country."""
+    return build_cells(spark, d, FILTERS).select(*MX.CELL_OUT)
+
+
+@register("matrix_all_shapes", from_cells([MX.SHAPES, *MX.CELL_OUT], SHAPED))
+def matrix_all_shapes(spark, d):
+    """The whole matrix for ALL and each shape, from one scan of each input."""
+    return shape_cells_df(spark, d).select(MX.SHAPES, *MX.CELL_OUT)
 
 
 S.add("pm_base", ["selling"], f"SELECT * FROM (SELECT *, {S.size_range('carat')} AS size_range FROM selling) t WHERE size_range IS NOT NULL")
@@ -199,30 +303,8 @@ def price_matrix(spark, d):
     return out.fillna({"count": 0, "total_stones": 0, "has_data": False})
 
 
-@register("matrix_all_shapes", S.with_ctes(f"""SELECT shape_sel, {CELL}, count(*) AS pcs, {S.rnd('sum(carat)', 2, True)} AS carats,
-    {S.rnd('sum(price)', 2, True)} AS price FROM (
-    SELECT 'ALL' AS shape_sel, * FROM pm_base UNION ALL SELECT shape AS shape_sel, * FROM pm_base) t
-  WHERE color IN ('D', 'E', 'F', 'G') GROUP BY ALL""", "pm_base"))
-def matrix_all_shapes(spark, d):
-    """Every shape plus ALL in one job: explode(['ALL', shape]) after
-    projecting to the needed columns, then one aggregate (grouping-set form)."""
-    m = MX.binned(base.matched(spark, d)).where(F.col("color").isin(*dims.MATRIX_COLORS)).select(
-        "shape", *MX.CELL, "carat", "price")
-    x = m.withColumn("shape_sel", F.explode(F.array(F.lit("ALL"), F.col("shape"))))
-    return x.groupBy("shape_sel", *MX.CELL).agg(F.count(F.lit(1)).alias("pcs"), rnd(F.sum("carat"), 2, True).alias("carats"),
-                                                 rnd(F.sum("price"), 2, True).alias("price"))
-
-
 # ------------------------------------------------ SQL oracles for the matrices
 
-def _r2_sql(e: str) -> str:
-    return f"CASE WHEN coalesce(({e}) <> 0, false) THEN {S.rnd(e)} END"
-
-
-def _div(a: str, b: str) -> str:
-    return f"(CASE WHEN {b} <> 0 THEN {a} / {b} END)"
-
-
 S.add("rm0", ["mx_stock", "sales_coh", "mx_q", "ev_ranged"], f"""SELECT sm.ordinal, sm.size_range,
     coalesce(st.stock_pcs, 0) AS stock_pcs, coalesce(sl.sold_pcs, 0) AS sold, coalesce(st.vm, 0) AS vm,
     coalesce(q.m_stock, 0) AS ms, coalesce(q.m_sold, 0) AS msold, q.mw, q.mv, q.msw, q.msv,
@@ -294,3 +376,9 @@ CM_FACTOR = """CASE WHEN cur IS NULL OR msold < 5 THEN NULL WHEN pp < 20 AND ms
     CAST(ms AS BIGINT) AS matched_stock, CAST(msold AS BIGINT) AS matched_sales FROM cm1""", "cm1"))
 def range_color_matrix(spark, d):
     return MX.range_color_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d)).select(*MX.COLOR_OUT)
+
+
+@register("data_coverage", f"SELECT size_range, available_data, missing_data, data_coverage FROM ({ORACLES['carat_matrix']})")
+def data_coverage(spark, d):
+    return MX.carat_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d)).select(
+        "size_range", "available_data", "missing_data", "data_coverage")

@@ -11,7 +11,8 @@ from facetwise.operators import selling
 from facetwise.plans import base, fixtures
 from facetwise.plans import sqlparts as S
 from facetwise.plans.q_core import selling_sql
-from facetwise.plans.q_matrix import cells_df, stock_df, ev_df
+from facetwise.plans.q_matrix import SHAPED, cells_df, ev_df, from_cells, shape_cells_df, stock_df
+from facetwise.plans.q_pairs import new_pairs
 from facetwise.plans.q_sales import sales_cohorts_df
 from facetwise.plans.registry import ORACLES, register
 from facetwise.session import shared_path
@@ -20,13 +21,12 @@ from facetwise.sources.snapshots import load_snapshot, write_snapshot
 from facetwise.sources.versions import VersionedTable, files_of, first_available
 from facetwise.operators import matrix as MX
 
-FLAT = [("stone_id", "Stone ID"), ("shape", "Shape"), ("carat", "Carat"), ("color", "Color"), ("clarity", "Clarity"),
+FLAT = [("stone_id", "Stone ID"), ("market_stone_id", "Market ID"), ("shape", "Shape"), ("carat", "Carat"), ("color", "Color"), ("clarity", "Clarity"),
         ("cut", "Cut"), ("polish", "Polish"), ("symmetry", "Symmetry"), ("fluorescence", "Fluorescence"), ("lab", "Lab"),
-        ("country", "Country"), ("price", "Own Price"), ("market_bottom_price", "Market Bottom"),
+        ("country", "Country"), ("market_bottom_price", "Market Bottom"), ("price", "Own Price"),
         ("market_diff_abs", "Market Diff"), ("market_diff_pct", "Market Diff %"), ("min_selling_price", "Min Sell"),
         ("recommended_selling_price", "Recommended"), ("premium_selling_price", "Premium"),
-        ("top1_listing_price", "Top 1% Target"), ("top1_status", "Top 1% Status"), ("expected_profit", "Expected Profit"),
-        ("profit_pct", "Profit %"), ("competitiveness_score", "Competitiveness"), ("recommendation", "Recommendation"),
+        ("expected_profit", "Expected Profit"), ("profit_pct", "Profit %"), ("negotiation_range", "Negotiation Range"), ("competitiveness_score", "Competitiveness"), ("recommendation", "Recommendation"),
         ("action", "Action")]
 
 
@@ -36,12 +36,27 @@ def flat_report(spark, d):
     return base.matched(spark, d).select(*[F.col(c).alias(label) for c, label in FLAT])
 
 
-@register("report_preview", S.with_ctes(f"""SELECT {', '.join(f'{c} AS "{l}"' for c, l in FLAT[:12])}, expected_profit AS "Expected Profit"
-  FROM selling ORDER BY expected_profit DESC, {', '.join(base.TIEBREAK)} LIMIT 15""", "selling"))
+PREVIEW = [("shape", "Shape"), ("carat", "Carat"), ("color", "Color"), ("clarity", "Clarity"), ("lab", "Lab"), ("price", "Own $"),
+           ("recommended_selling_price", "Rec Sell $"), ("expected_profit", "Profit $"), ("action", "Action")]
+WHOLE = {"price", "recommended_selling_price", "expected_profit"}  # shown without cents
+
+
+@register("report_preview", S.with_ctes("SELECT " + ", ".join(f'{S.rnd(c, 0) if c in WHOLE else c} AS "{l}"' for c, l in PREVIEW) + f"""
+  FROM selling WHERE market_bottom_price IS NOT NULL ORDER BY {', '.join(base.TIEBREAK)} LIMIT 15""", "selling"))
 def report_preview(spark, d):
-    """First 15 rows of the report (most profitable first)."""
-    m = base.matched(spark, d).orderBy(F.col("expected_profit").desc(), *base.TIEBREAK).limit(15)
-    return m.select(*[F.col(c).alias(label) for c, label in FLAT[:12]], F.col("expected_profit").alias("Expected Profit"))
+    """The first 15 matched stones in the order of the table (by id)."""
+    m = base.matched(spark, d).where(F.col("market_bottom_price").isNotNull()).orderBy(*base.TIEBREAK).limit(15)
+    return m.select(*[(rnd(F.col(c), 0) if c in WHOLE else F.col(c)).alias(label) for c, label in PREVIEW])
+
+
+PAIR_PREVIEW = "market_stone_id || ' | ' || stone_id || ' | ' || profit_margin_pct || '% | ' || recommendation"
+
+
+@register("pair_preview", S.with_ctes(f"SELECT {PAIR_PREVIEW} AS line FROM pp_new ORDER BY market_stone_id, stone_id LIMIT 20", "pp_new"))
+def pair_preview(spark, d):
+    """(legacy) The first 20 pairs as report lines."""
+    p = new_pairs(spark, d).orderBy("market_stone_id", "stone_id").limit(20)
+    return p.select(F.concat_ws(" | ", "market_stone_id", "stone_id", F.concat(F.col("profit_margin_pct").cast("string"), F.lit("%")), "recommendation").alias("line"))
 
 
 KPI_NAMES = ["total_inventory", "total_matches", "match_rate", "sell_now_count", "wait_count", "avoid_count",
@@ -62,14 +77,15 @@ def report_kpis(spark, d):
     return k.unpivot([], KPI_NAMES, "metric", "value")
 
 
-@register("matrix_detail_report")
+DETAIL = [("size_range", "Size Range"), ("color", "Color"), ("clarity", "Clarity"), ("vdb_pieces", "Market Pcs"),
+          ("pieces", "Pcs"), ("sold", "Sold"), ("sales_pct", "Sold %"), ("vdb_price", "Market $/ct"),
+          ("diamax_price", "Own $/ct"), ("historical_price", "Historical $/ct"), ("ai_price", "AI $/ct"),
+          ("demand_score", "Demand"), ("inventory_status", "Status")]
+
+
+@register("matrix_detail_report", from_cells([f'{a} AS "{b}"' for a, b in DETAIL]))
 def matrix_detail_report(spark, d):
-    c = cells_df(spark, d)
-    return c.select(*[F.col(a).alias(b) for a, b in [
-        ("size_range", "Size Range"), ("color", "Color"), ("clarity", "Clarity"), ("vdb_pieces", "Market Pcs"),
-        ("pieces", "Pcs"), ("sold", "Sold"), ("sales_pct", "Sold %"), ("vdb_price", "Market $/ct"),
-        ("diamax_price", "Own $/ct"), ("historical_price", "Historical $/ct"), ("ai_price", "AI $/ct"),
-        ("demand_score", "Demand"), ("inventory_status", "Status")]])
+    return cells_df(spark, d).select(*[F.col(a).alias(b) for a, b in DETAIL])
 
 
 SUMMARY = [("size_range", "Size Range"), ("total_stock", "Stock"), ("total_sold", "Sold"), ("sales_pct", "Sold %"),
@@ -82,25 +98,40 @@ def range_summary_report(spark, d):
     return r.select(*[F.col(a).alias(b) for a, b in SUMMARY])
 
 
-@register("matrix_grid")
+GRID_SHAPES = [MX.ALL, *dims.PREFERRED_SHAPE_ORDER]
+GRID_KEYS = [f"{s} {c}" for s in GRID_SHAPES for c in dims.GRID_CLARITIES]
+#: metric -> (market, own, AI) as SQL over a cell; the AI price is whole, its delta a whole percentage of the own price
+GRID_METRICS = {
+    "Pcs": ("CAST(vdb_pieces AS DOUBLE)", "CAST(pieces AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+    "$/ct": ("vdb_price", "coalesce(diamax_price, current_price)", S.rnd("ai_price", 0)),
+    "Sold %": ("CAST(NULL AS DOUBLE)", "sales_pct", "CASE WHEN coalesce(diamax_price, current_price) <> 0 THEN "
+               + S.rnd("(ai_price - coalesce(diamax_price, current_price)) / coalesce(diamax_price, current_price) * 100", 0) + " END"),
+}
+GRID_SQL = " UNION ALL ".join(f"SELECT shape_sel || ' ' || clarity AS k, size_range, color, '{m}' AS metric, {a} AS market, {o} AS own, {ai} AS ai FROM {SHAPED}"
+                              f" WHERE clarity IN ({', '.join(map(S.q, dims.GRID_CLARITIES))})" for m, (a, o, ai) in GRID_METRICS.items())
+
+
+@register("matrix_grid", S.with_ctes("SELECT size_range, color, metric, " + ", ".join(
+    f"""max({v}) FILTER (WHERE k = '{k}') AS "{k}_{v}\"""" for k in GRID_KEYS for v in ("market", "own", "ai")) + f" FROM ({GRID_SQL}) g GROUP BY ALL", SHAPED))
 def matrix_grid(spark, d):
-    """Rows size range x color x metric (Pcs, $/ct, Sold %); columns clarity
-    (VVS1, VVS2, VS1, VS2) x (market, own, AI): unpivot then pivot with an
-    explicit value list."""
-    c = cells_df(spark, d).where(F.col("clarity").isin(*dims.GRID_CLARITIES))
-    long = c.select("size_range", "color", "clarity", F.explode(F.array(
-        F.struct(F.lit("Pcs").alias("metric"), F.col("vdb_pieces").cast("double").alias("market"),
-                 F.col("pieces").cast("double").alias("own"), F.lit(None).cast("double").alias("ai")),
-        F.struct(F.lit("$/ct").alias("metric"), F.col("vdb_price").alias("market"), F.col("current_price").alias("own"),
-                 F.col("ai_price").alias("ai")),
-        F.struct(F.lit("Sold %").alias("metric"), F.lit(None).cast("double").alias("market"),
-                 F.col("sales_pct").alias("own"), F.lit(None).cast("double").alias("ai")))).alias("m")).select(
-        "size_range", "color", "clarity", "m.*")
-    return long.groupBy("size_range", "color", "metric").pivot("clarity", dims.GRID_CLARITIES).agg(
-        F.first("market").alias("market"), F.first("own").alias("own"), F.first("ai").alias("ai"))
-
-
-@register("price_delta")
+    """Rows size range x color x metric (Pcs, $/ct, Sold % with the AI price's delta); columns
+    shape x clarity (VVS1, VVS2, VS1, VS2) x (market, own, AI), shapes in the preferred
+    order after ALL: unpivot, then pivot with an explicit value list."""
+    c = shape_cells_df(spark, d).where(F.col("clarity").isin(*dims.GRID_CLARITIES))
+    own = F.coalesce("diamax_price", "current_price")
+    none = F.lit(None).cast("double")
+    metric = lambda name, market, mine, ai: F.struct(F.lit(name).alias("metric"), market.cast("double").alias("market"), mine.cast("double").alias("own"), ai.alias("ai"))
+    rows = F.array(metric("Pcs", F.col("vdb_pieces"), F.col("pieces"), none), metric("$/ct", F.col("vdb_price"), own, rnd(F.col("ai_price"), 0)),
+                   metric("Sold %", none, F.col("sales_pct"), F.when(truthy(own), rnd((F.col("ai_price") - own) / own * 100, 0))))
+    long = c.select(F.concat_ws(" ", MX.SHAPES, "clarity").alias("k"), "size_range", "color", F.explode(rows).alias("m")).select("k", "size_range", "color", "m.*")
+    return long.groupBy("size_range", "color", "metric").pivot("k", GRID_KEYS).agg(F.max("market").alias("market"), F.max("own").alias("own"), F.max("ai").alias("ai"))
+
+
+AI_DELTA = "CASE WHEN ai_price IS NOT NULL AND coalesce(current_price <> 0, false) THEN {} END"
+
+
+@register("price_delta", from_cells([*MX.CELL, "current_price", "ai_price", AI_DELTA.format(S.rnd("ai_price - current_price")) + " AS ai_delta",
+                                     AI_DELTA.format(S.rnd("(ai_price - current_price) / current_price * 100", 1)) + " AS ai_delta_pct"]))
 def price_delta(spark, d):
     c = cells_df(spark, d)
     ok = F.col("ai_price").isNotNull() & truthy(F.col("current_price"))
@@ -109,19 +140,22 @@ def price_delta(spark, d):
                     F.when(ok, rnd((F.col("ai_price") - F.col("current_price")) / F.col("current_price") * 100, 1)).alias("ai_delta_pct"))
 
 
-@register("signal_flags")
+@register("signal_flags", from_cells([*MX.CELL, "coalesce(sales_pct >= 100, false) AS high_sales", "coalesce(sales_pct <= 20, false) AS low_sales", "pieces <= 10 AS low_stock",
+                                      "coalesce(demand_score >= 70, false) AS high_demand", "coalesce(demand_score <= 35, false) AS low_demand",
+                                      "coalesce(ai_price < diamax_price, false) AS ai_below_own", "coalesce(ai_price > diamax_price, false) AS ai_above_own"]))
 def signal_flags(spark, d):
     c = cells_df(spark, d)
     low = lambda x: F.coalesce(x, F.lit(False))  # noqa: E731 - an empty cell raises no flag
     return c.select("size_range", "color", "clarity",
                     low(F.col("sales_pct") >= 100).alias("high_sales"), low(F.col("sales_pct") <= 20).alias("low_sales"),
-                    (F.col("pieces") <= 10).alias("low_stock"), (F.coalesce(F.col("demand_score"), F.lit(0.0)) >= 70).alias("high_demand"),
-                    (F.coalesce(F.col("demand_score"), F.lit(100.0)) <= 35).alias("low_demand"),
+                    (F.col("pieces") <= 10).alias("low_stock"), low(F.col("demand_score") >= 70).alias("high_demand"),
+                    low(F.col("demand_score") <= 35).alias("low_demand"),
                     low(F.col("ai_price") < F.col("diamax_price")).alias("ai_below_own"),
                     low(F.col("ai_price") > F.col("diamax_price")).alias("ai_above_own"))
 
 
-@register("display_price")
+@register("display_price", from_cells([*MX.CELL, "coalesce(ai_price, current_price, vdb_price, ev_price) AS display_price",
+                                       "CASE WHEN ai_price IS NOT NULL THEN 'AI' WHEN current_price IS NOT NULL THEN 'Current' WHEN vdb_price IS NOT NULL THEN 'Market' WHEN ev_price IS NOT NULL THEN 'Evidence' END AS price_source"]))
 def display_price(spark, d):
     c = cells_df(spark, d)
     price = F.coalesce(F.col("ai_price"), F.col("current_price"), F.col("vdb_price"), F.col("ev_price"))
