@@ -117,6 +117,18 @@ def sync_mark(pairs: DataFrame, sync_at: Column) -> DataFrame:
                             .when(F.col("matched_at") == sync_at, F.lit("insert")).otherwise(F.lit("update")))
 
 
+PERIODS = {"1h": "1 HOUR", "24h": "24 HOURS", "7d": "7 DAYS", "30d": "30 DAYS"}
+
+
+def in_period(history: DataFrame, as_of: Column, period: str = "24h", pair: tuple[str, str] | None = None) -> DataFrame:
+    """The price history of a period up to ``as_of`` (an unknown one: 24 hours), of all pairs
+    or one (market id, inventory id), in time order."""
+    out = history.where(F.col("recorded_at") >= as_of - F.expr(f"INTERVAL {PERIODS.get(period, PERIODS['24h'])}"))
+    if pair is not None:
+        out = out.where((F.col("market_stone_id") == pair[0]) & (F.col("stone_id") == pair[1]))
+    return out.orderBy("recorded_at", *PAIR_KEY)
+
+
 def margin_stability(history: DataFrame) -> DataFrame:
     """Population variance of the last <= 10 margins per pair; score =
     clamp(100 - 5 var, 0, 100), 70 when fewer than 2 points."""

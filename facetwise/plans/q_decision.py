@@ -55,7 +55,11 @@ def recommend_sql(src: str) -> str:
     return f"""SELECT *, {S.rnd('ai_')} AS ai_rate, CASE WHEN ai_ IS NULL THEN 'Manual Review' WHEN confidence < 40 THEN 'Manual Review'
       WHEN gap_ > 1 AND (p_ > 1.2 OR coalesce(sales_pct, 0.0) < 50) THEN 'Reduce (' || CAST(mv_ AS VARCHAR) || '%)'
       WHEN gap_ < -1 AND (p_ < 0.5 OR coalesce(sales_pct, 0.0) > 100) THEN 'Increase (+' || CAST(mv_ AS VARCHAR) || '%)'
-      WHEN p_ > 2 THEN 'Promote' WHEN sales_90 = 0 THEN 'Monitor' ELSE 'Hold' END AS action
+      WHEN p_ > 2 THEN 'Promote' WHEN sales_90 = 0 THEN 'Monitor' ELSE 'Hold' END AS action,
+    CASE WHEN ai_ IS NULL THEN 'no_evidence' WHEN confidence < 40 THEN 'low_confidence'
+      WHEN gap_ > 1 AND (p_ > 1.2 OR coalesce(sales_pct, 0.0) < 50) THEN 'above_evidence_with_stock'
+      WHEN gap_ < -1 AND (p_ < 0.5 OR coalesce(sales_pct, 0.0) > 100) THEN 'below_evidence_with_demand'
+      WHEN p_ > 2 THEN 'inventory_over_demand' WHEN sales_90 = 0 THEN 'no_sales_90_days' ELSE 'near_evidence' END AS reason
   FROM (SELECT *, least(3, greatest(1, CAST({S.rnd('abs(gap_)', 0)} AS INTEGER))) AS mv_ FROM (
     SELECT *, CASE WHEN {t('current_rate')} AND {t('ai_')} THEN (current_rate - ai_) / ai_ * 100 ELSE 0.0 END AS gap_ FROM (
       SELECT *, coalesce(ratio_raw, 0.0) AS p_,
@@ -70,16 +74,13 @@ S.add("dm3", ["dm2"], recommend_sql("dm2"))
 SCORE = (f"least(100.0, {S.rnd(f'least(sales_30 / CAST(5 AS DOUBLE), 1.0) * 35 + CASE WHEN {t(chr(114) + 'atio_raw')} AND ratio_raw < 1.2 THEN 1.0 WHEN {t('ratio_raw')} AND ratio_raw < 2 THEN 0.4 ELSE 0.0 END * 25 + {b('vdb_rate')} * 20 + least(greatest(1.0 + trend, 0.0), 1.0) * 10 + CAST(sales_180 > 0 AS INTEGER) * 10', 1)})")
 OUT_SQL = ", ".join(DM.OUT)
 S.add("dm", ["dm3"], f"""SELECT *, sales_90 > 0 AS sales_history_available, {S.rnd('ratio_raw', 1)} AS inventory_ratio,
-    {S.rnd('doi_raw', 1)} AS days_inventory, {SCORE} AS recommendation_score, 'x' AS reason FROM dm3""")
+    {S.rnd('doi_raw', 1)} AS days_inventory, {SCORE} AS recommendation_score FROM dm3""")
 
 
 def dm_df(spark, d):
     return DM.decision_matrix(stock_sales_df(spark, d), DM.trailing_sales(sales_deduped(spark, d)))
 
 
-NO_REASON = [c for c in DM.OUT if c != "reason"]
-
-
 @register("trailing_sales", S.with_ctes("SELECT * FROM trail_counts", "trail_counts"))
 def trailing_sales(spark, d):
     return DM.trailing_sales(sales_deduped(spark, d))
@@ -97,9 +98,9 @@ def sales_velocity(spark, d):
                      r(F.col("days_inventory_raw"), 4).alias("days_inventory"), r(F.col("trend"), 4).alias("trend"))
 
 
-@register("decision_matrix", S.with_ctes(f"SELECT {', '.join(NO_REASON)} FROM dm", "dm"))
+@register("decision_matrix", S.with_ctes(f"SELECT {', '.join(DM.OUT)} FROM dm", "dm"))
 def decision_matrix(spark, d):
-    return dm_df(spark, d).select(*NO_REASON)
+    return dm_df(spark, d)
 
 
 S.add("dmu0", ["stock_sales"], """SELECT *, 0 AS sales_30, 0 AS sales_90, 0 AS sales_180, CAST(NULL AS DOUBLE) AS ratio_raw,
@@ -112,11 +113,11 @@ S.add("dmu", ["dmu1"], recommend_sql("dmu1"))
 
 @register("decision_matrix_undated", S.with_ctes(f"""SELECT {COH}, stock_pcs, sold_pcs, sales_pct, current_rate, historical_rate,
     vdb_rate, sales_30, sales_90, sales_180, false AS sales_history_available, CAST(NULL AS DOUBLE) AS inventory_ratio,
-    CAST(NULL AS DOUBLE) AS days_inventory, ai_rate, confidence, action, CAST(confidence AS DOUBLE) AS recommendation_score
+    CAST(NULL AS DOUBLE) AS days_inventory, ai_rate, confidence, action, CAST(confidence AS DOUBLE) AS recommendation_score, reason
   FROM dmu""", "dmu"))
 def decision_matrix_undated(spark, d):
     """Fallback rows when the sales export has no usable sale dates."""
-    return DM.decision_matrix_undated(stock_sales_df(spark, d)).select(*NO_REASON)
+    return DM.decision_matrix_undated(stock_sales_df(spark, d))
 
 
 MED = ("(SELECT CASE WHEN len(l) = 0 THEN NULL WHEN len(l) % 2 = 1 THEN l[len(l) // 2 + 1] "
@@ -138,6 +139,13 @@ def decision_matrix_median(spark, d):
     return DM.decision_matrix_median(stock_sales_df(spark, d), DM.trailing_sales(sales_deduped(spark, d)))
 
 
+@register("decision_matrix_median_undated", S.with_ctes(f"""SELECT {COH}, stock_pcs, sold_pcs, sales_pct, current_rate, historical_rate, vdb_rate, 0 AS sales_30, 0 AS sales_90, 0 AS sales_180,
+    CAST(NULL AS DOUBLE) AS inventory_ratio, CAST(NULL AS DOUBLE) AS days_inventory, coalesce({S.rnd('ai_')}, 0.0) AS ai_rate, CASE WHEN ai_ IS NULL THEN 10 ELSE 35 END AS confidence,
+    'Manual Review' AS action FROM (SELECT *, {MED} AS ai_ FROM stock_sales) t""", "stock_sales"))
+def decision_matrix_median_undated(spark, d):
+    return DM.decision_matrix_median_undated(stock_sales_df(spark, d))
+
+
 S.add("dm_opp", ["dm"], """SELECT *, CASE WHEN opportunity = 'High Demand' THEN 0 WHEN opportunity = 'Underpriced' THEN 1
     WHEN starts_with(action, 'Increase') THEN 2 WHEN opportunity = 'Overstock' THEN 3 WHEN opportunity = 'Manual Review' THEN 4 ELSE 5 END
     AS opportunity_rank FROM (SELECT *, CASE WHEN coalesce(confidence, 0) < 40 THEN 'Manual Review'
@@ -152,7 +160,7 @@ S.add("dm_opp", ["dm"], """SELECT *, CASE WHEN opportunity = 'High Demand' THEN
                                           "dm_opp"))
 def opportunity_rank(spark, d):
     """Opportunity class and rank; display order = rank, then score desc."""
-    return DM.opportunity(dm_df(spark, d)).select(*dims.COHORT_KEYS, "confidence", "action", "recommendation_score",
+    return DM.in_order(DM.opportunity(dm_df(spark, d))).select(*dims.COHORT_KEYS, "confidence", "action", "recommendation_score",
                                                    "opportunity", "opportunity_rank")
 
 
@@ -168,9 +176,9 @@ def decision_bands(spark, d):
 
 @register("decision_matrix_filter", S.with_ctes(f"""SELECT {COH}, confidence, stock_pcs, sales_pct, opportunity, opportunity_rank,
     recommendation_score FROM dm_opp WHERE coalesce(confidence, 0) >= 60 AND coalesce(confidence, 0) < 80
-    AND coalesce(stock_pcs, 0) < 50 AND coalesce(sales_pct, 0.0) > 100""", "dm_opp"))
+    AND coalesce(stock_pcs, 0) < 50 AND coalesce(sales_pct, 0.0) > 100 AND shape = 'ROUND' AND contains(lower(shape || ' ' || size_range), 'round 1.')""", "dm_opp"))
 def decision_matrix_filter(spark, d):
-    """Confidence band Medium, stock < 50, sales > 100%."""
+    """Confidence band Medium, stock < 50, sales > 100%, one shape, text across shape and size."""
     df = DM.opportunity(dm_df(spark, d))
-    return DM.matrix_filter(df, confidence="Medium", stock="Low", sales="High (100%+)").select(
+    return DM.matrix_filter(df, confidence="Medium", stock="Low", sales="High (100%+)", shape="ROUND", search="Round 1.").select(
         *dims.COHORT_KEYS, "confidence", "stock_pcs", "sales_pct", "opportunity", "opportunity_rank", "recommendation_score")

@@ -322,10 +322,10 @@ S.add("rm1", ["rm0"], f"""SELECT *, CASE WHEN spct IS NOT NULL AND epct IS NOT N
     CASE WHEN ev_stock + ev_sold > 0 THEN ev_sold / (ev_stock + ev_sold) * 100 END AS epct,
     {_div('mv', 'mw')} AS cur, {_div('msv', 'msw')} AS hist, msold >= 5 AND ms > 0 AS sufficient,
     CASE WHEN ms > 0 THEN msold / ms * 100 END AS r FROM rm0) t""")
-RM_REC = """CASE WHEN NOT sufficient THEN 'Insufficient historical sales data'
-      WHEN r < 20 AND ms >= msold THEN 'Liquidate / reduce 5%' WHEN r < 40 THEN 'Promote / reduce 2%'
-      WHEN r > 80 AND ms < msold THEN 'Stock more / hold price' WHEN coalesce(demand, 0.0) >= 60 THEN 'Hold price'
-      ELSE 'Targeted promotion / reduce 2%' END"""
+RM_REC = """CASE WHEN NOT sufficient THEN 'INSUFFICIENT_SALES'
+      WHEN r < 20 AND ms >= msold THEN 'LIQUIDATE_5' WHEN r < 40 THEN 'PROMOTE_2'
+      WHEN r > 80 AND ms < msold THEN 'STOCK_MORE' WHEN coalesce(demand, 0.0) >= 60 THEN 'HOLD'
+      ELSE 'TARGETED_2' END"""
 RM_FACTOR = """CASE WHEN NOT sufficient THEN NULL WHEN r < 20 AND ms >= msold THEN 0.95 WHEN r < 40 THEN 0.98
       WHEN r > 80 AND ms < msold THEN 1.0 WHEN coalesce(demand, 0.0) >= 60 THEN 1.0 ELSE 0.98 END"""
 FLAGS = [("Inventory", "stock_pcs > 0"), ("Own sales", "sold > 0"), ("Market", "vm > 0"), ("Evidence", "epct IS NOT NULL")]
@@ -339,13 +339,13 @@ MISSING = "concat_ws(', ', " + ", ".join(f"CASE WHEN NOT ({c}) THEN '{n}' END" f
     demand AS demand_score, CASE WHEN demand IS NOT NULL THEN {S.rnd('100.0 - demand', 1)} END AS inventory_risk_score,
     {_r2_sql('cur')} AS current_price, {_r2_sql('hist')} AS historical_selling_price,
     {_r2_sql(f'cur * ({RM_FACTOR})')} AS suggested_price, demand AS clearance_score, {RM_REC} AS recommendation,
-    CASE WHEN sufficient AND vm > 0 AND epct IS NOT NULL THEN 'High - all compatible sources'
-      WHEN sufficient THEN 'Medium - compatible stock and own sales' ELSE 'Price action withheld' END AS confidence,
-    CASE WHEN {AVAIL} = '' THEN 'No source data' ELSE {AVAIL} END AS available_data,
-    CASE WHEN {MISSING} = '' THEN 'None' ELSE {MISSING} END AS missing_data,
-    CASE WHEN {MISSING} = '' THEN 'Complete' WHEN {AVAIL} <> '' THEN 'Partial' ELSE 'No data' END AS data_coverage,
-    format('{{:,}}', CAST(ms AS BIGINT)) || ' stock / ' || format('{{:,}}', CAST(msold AS BIGINT))
-      || ' sales matched by Size + Shape + Color + Clarity' AS price_match_basis
+    CASE WHEN sufficient AND vm > 0 AND epct IS NOT NULL THEN 'FULL'
+      WHEN sufficient THEN 'STOCK_AND_SALES' ELSE 'WITHHELD' END AS confidence,
+    CASE WHEN {AVAIL} = '' THEN 'NONE' ELSE {AVAIL} END AS available_data,
+    CASE WHEN {MISSING} = '' THEN 'NONE' ELSE {MISSING} END AS missing_data,
+    CASE WHEN {MISSING} = '' THEN 'COMPLETE' WHEN {AVAIL} <> '' THEN 'PARTIAL' ELSE 'NO_DATA' END AS data_coverage,
+    format('{{:,}}', CAST(ms AS BIGINT)) || ' of ' || format('{{:,}}', CAST(msold AS BIGINT))
+      || ' by cohort' AS price_match_basis
   FROM rm1""", "rm1"))
 def carat_matrix(spark, d):
     return MX.carat_matrix(spark, stock_df(spark, d), sales_cohorts_df(spark, d), ev_df(spark, d)).select(*MX.RANGE_OUT)
@@ -365,8 +365,8 @@ S.add("cm0", ["mx_stock", "sales_coh", "mx_q", "ev_ranged"], f"""SELECT g.size_r
 S.add("cm1", ["cm0"], f"""SELECT *, CASE WHEN stock > 0 THEN sold / stock * 100 END AS spct,
     CASE WHEN ev_stock + ev_sold > 0 THEN ev_sold / (ev_stock + ev_sold) * 100 END AS epct,
     {_div('mv', 'mw')} AS cur, CASE WHEN ms > 0 THEN msold / ms * 100 END AS pp FROM cm0""")
-CM_REC = """CASE WHEN cur IS NULL OR msold < 5 THEN 'Insufficient sales history' WHEN pp < 20 AND ms >= msold THEN 'Reduce 5%'
-      WHEN pp < 40 THEN 'Reduce 2%' WHEN pp > 80 AND ms < msold THEN 'Stock more / hold' ELSE 'Hold price' END"""
+CM_REC = """CASE WHEN cur IS NULL OR msold < 5 THEN 'INSUFFICIENT_SALES' WHEN pp < 20 AND ms >= msold THEN 'REDUCE_5'
+      WHEN pp < 40 THEN 'REDUCE_2' WHEN pp > 80 AND ms < msold THEN 'STOCK_MORE' ELSE 'HOLD' END"""
 CM_FACTOR = """CASE WHEN cur IS NULL OR msold < 5 THEN NULL WHEN pp < 20 AND ms >= msold THEN 0.95 WHEN pp < 40 THEN 0.98 ELSE 1.0 END"""
 
 

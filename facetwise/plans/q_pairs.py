@@ -3,7 +3,9 @@ own prices and fewer listings. Both are priced once and read back as snapshots."
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetwise.functions import dims
@@ -198,14 +200,13 @@ def matched_upsert(spark, d):
     return PR.sync_mark(table.load(), F.to_timestamp(F.lit(T1)))
 
 
-S.add("history", ["pp_new", "pp_old"], f"""SELECT pair_id, market_price AS vdb_price, price AS diamax_price, expected_profit AS market_difference,
-    profit_margin_pct, TIMESTAMP '{T0}' AS recorded_at FROM pp_old
-  UNION ALL SELECT pair_id, market_price, price, expected_profit, profit_margin_pct, TIMESTAMP '{T1}' FROM pp_new""")
+HISTORY = "pair_id, market_stone_id, stone_id, market_price AS vdb_price, price AS diamax_price, expected_profit AS market_difference, profit_margin_pct"
+S.add("history", ["pp_new", "pp_old"], f"SELECT {HISTORY}, TIMESTAMP '{T0}' AS recorded_at FROM pp_old UNION ALL SELECT {HISTORY}, TIMESTAMP '{T1}' FROM pp_new")
 
 
 def history_df(spark, d):
     def snap(df, ts):
-        return df.select("pair_id", F.col("market_price").alias("vdb_price"), F.col("price").alias("diamax_price"),
+        return df.select("pair_id", *PR.PAIR_KEY, F.col("market_price").alias("vdb_price"), F.col("price").alias("diamax_price"),
                          F.col("expected_profit").alias("market_difference"), "profit_margin_pct",
                          F.to_timestamp(F.lit(ts)).alias("recorded_at"))
     return snap(old_pairs(spark, d), T0).unionByName(snap(new_pairs(spark, d), T1))
@@ -217,12 +218,13 @@ def price_snapshot(spark, d):
     return history_df(spark, d)
 
 
-@register("price_history_window", S.with_ctes(f"""SELECT * FROM history
-  WHERE recorded_at >= TIMESTAMP '{T1}' - INTERVAL 1 HOUR ORDER BY pair_id, recorded_at""", "history"))
+@register("price_history_window", S.with_ctes(" UNION ALL ".join(
+    f"SELECT '{p}' AS period, * FROM history WHERE recorded_at >= TIMESTAMP '{T1}' - INTERVAL {h} HOUR" for p, h in (("1h", 1), ("24h", 24), ("7d", 168), ("30d", 720), ("other", 24))), "history"))
 def price_history_window(spark, d):
-    """Period 1h before the latest sync: series per pair ordered by time."""
-    h = history_df(spark, d)
-    return h.where(F.col("recorded_at") >= F.to_timestamp(F.lit(T1)) - F.expr("INTERVAL 1 HOUR")).orderBy("pair_id", "recorded_at")
+    """The history of each period before the latest sync; an unknown period is 24 hours."""
+    h, as_of = history_df(spark, d), F.to_timestamp(F.lit(T1))
+    parts = [PR.in_period(h, as_of, p).select(F.lit(p).alias("period"), "*") for p in (*PR.PERIODS, "other")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @register("margin_stability", S.with_ctes("""SELECT pair_id, points, CASE WHEN points < 2 THEN 70.0
