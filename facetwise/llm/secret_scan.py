@@ -16,8 +16,10 @@ The parts of all texts are rows; linking is an interval join of candidates with
 complements on (text, scope, bin), bins being ``LINK_CHARS`` wide, so a bin holds a
 bounded number of parts however long a text is.
 
-Defined results: null is the empty text and has no span. Each input row has its own
-result; copies have equal ones. Extra columns are ignored.
+Defined results: null is the empty text and has no span. Texts are read whole, however
+long, in time that is linear in their length. Spans of one start come in the order of the
+kinds. Each input row has its own result; copies have equal ones. An empty table gives an
+empty result. Extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -41,7 +43,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 IDENT = re.compile(r"""(?i:access_?key_?id|client_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}""", re.ASCII)
 SECRET = re.compile(r"[A-Za-z0-9+/_-]{16,}")
-ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}\b""", re.ASCII)
+#: A URL, or a run of host characters before a port, which no match may start within.
+ENDPOINT = re.compile(r"""https?://[^\s"'<>]+|(?<![\w.-])[a-z0-9.-]++(?=:[0-9]{2,5}\b):[0-9]+""", re.ASCII)
+HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]+")
 PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
 
 _PARTS = "doc_id bigint, base array<struct<start:int,kind:int,stop:int>>, parts array<struct<start:int,kind:int,stop:int,scope:int>>"
@@ -66,7 +70,7 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     out = [(m.start(), 3, m.end()) for m in IDENT.finditer(text)]
     out += [(m.start(), 4, m.end()) for m in SECRET.finditer(text) if _key_like(m.group())]
     if "://" in text or ":" in text:
-        out += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+        out += [(s, 5, m.end()) for m in ENDPOINT.finditer(text) if (s := _endpoint_start(m)) is not None]
     if not base:
         return sorted(out)
     covered, reach = [], 0
@@ -85,6 +89,15 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return kept
 
 
+def _endpoint_start(match: re.Match) -> int | None:
+    """Where a URL or a host with port starts: behind empty labels and leading hyphens."""
+    found = match.group()
+    if "://" in found:
+        return match.start()
+    host = found[found.rfind("..") + 2 if ".." in found else 0:].lstrip(".-")
+    return match.end() - len(host) if HOST.fullmatch(host) else None
+
+
 def _key_like(word: str) -> bool:
     digit, small, large = any(c.isdigit() for c in word), any(c.islower() for c in word), any(c.isupper() for c in word)
     if not digit or not (small and large or (small or large) and len(word) >= 24):
