@@ -4,8 +4,10 @@ The network reads a word's bytes forwards and backwards with one gated recurrent
 each; a softmax over both states labels every byte position. A document's language is the
 one with the largest sum of log-probabilities over all positions of all its words, its
 score that language's mean probability. A word longer than ``PIECE`` bytes is read in
-pieces, so every byte is labelled, but weighs as ``LONGEST`` positions in the pool, so one
-long key does not outvote the prose; words without letters do not vote. Words of a document are read with a blank before and
+pieces, so every byte is labelled and pooled, also in languages that write no blanks. Only
+a word that mixes in digits or symbols, as keys and addresses do, weighs as ``LONGEST``
+positions at most, so one long key does not outvote the prose; words without letters do
+not vote. Words of a document are read with a blank before and
 after; each distinct word is labelled once per worker (a bounded table) and counted with
 its frequency, as the network starts afresh at every word.
 
@@ -34,6 +36,8 @@ TRAIN_DOCS = 200
 TRAIN_WORDS = 3000
 PIECE = 48
 LONGEST = 16
+#: Digits and symbols that keys, addresses and markup have, prose between blanks has not.
+KEY_BYTES = frozenset(b"0123456789#$%&*+/<=>@[\\]^_`{|}~")
 EMBED, HIDDEN = 12, 12
 EPOCHS, BATCH, RATE = 6, 256, 0.01
 CACHE_WORDS = 250_000
@@ -184,7 +188,8 @@ def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_words: int = TRAIN_WORDS)
 
 def _label(network: ByteNetwork, words: list[bytes]) -> np.ndarray:
     """(words, 2 * classes + 1): summed log-probabilities, summed probabilities, positions.
-    A word counts as ``LONGEST`` positions at most, one without a letter not at all."""
+    A word that mixes in digits or symbols counts as ``LONGEST`` positions at most, one
+    without a letter not at all."""
     n_classes = network.w["c"].shape[0]
     out = np.zeros((len(words), 2 * n_classes + 1))
     pieces = [(len(p), i, p) for i, w in enumerate(words) for p in pieces_of(w)]
@@ -196,7 +201,9 @@ def _label(network: ByteNetwork, words: list[bytes]) -> np.ndarray:
             part = own[at:at + 4096]
             logs = network.log_probabilities(np.frombuffer(b"".join(p for _, _, p in part), np.uint8).reshape(len(part), size))
             np.add.at(out, [i for _, i, _ in part], np.concatenate([logs.sum(0), np.exp(logs).sum(0), np.full((len(part), 1), size)], 1))
-    weight = np.minimum(out[:, -1], LONGEST) / out[:, -1] if len(words) else out[:, -1]
+    weight = np.ones(len(words))
+    keys = np.array([bool(KEY_BYTES.intersection(w)) for w in words], bool)
+    weight[keys] = np.minimum(out[keys, -1], LONGEST) / out[keys, -1]
     return out * (weight * [any(b >= 0x80 or 0x61 <= b | 0x20 <= 0x7A for b in w) for w in words])[:, None]
 
 
