@@ -373,7 +373,7 @@ def test_line_dedup_keeps_one_line_of_each_component(spark, docs, odd_docs):
     for r in order:
         for line in (r["text"] or "").split("\n"):
             if WORD.search(line) and line not in sets:
-                sets[line] = frozenset(line[a:a + 12] for a in range(max(1, len(line) - 11)))
+                sets[line] = frozenset(line[a:a + line_dedup.SHINGLE] for a in range(max(1, len(line) - line_dedup.SHINGLE + 1)))
                 root[line] = line
     places = defaultdict(list)
     for line, s in sets.items():
