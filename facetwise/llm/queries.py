@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from facetwise.llm import cross_align, decontaminate, language_id, line_dedup, lm_scoring, ngram_join, periodic_runs, piece_codec, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from facetwise.llm.oracles import ORACLES  # noqa: F401
 from facetwise.llm.tables import documents
 
 #: Where the public tokenizers' files are; a name in it is a parameter of the operators.
 TOKENIZERS = os.environ.get("FACETWISE_TOKENIZERS") or os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn):
