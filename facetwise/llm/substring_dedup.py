@@ -18,7 +18,8 @@ earlier: in a document of smaller id, or earlier in the same document.
 Defined results: null or blank text has no words and keeps the empty string. Rows with
 equal doc_id and equal words are the same document and get equal results; rows with equal
 doc_id but other words are ordered by a digest of the words. A null doc_id sorts last.
-Extra columns of the input are ignored. An empty table gives an empty result.
+Extra columns of the input are ignored. An empty table gives an empty result. A text is
+read whole, however long: its words and windows are in one task's memory at once.
 """
 from __future__ import annotations
 
@@ -102,6 +103,16 @@ def _scan_documents(size: int):
     return run
 
 
+def _leftmost_smallest(values: np.ndarray, span: int) -> np.ndarray:
+    """For each stretch of ``span`` values, where its smallest is; of equal ones the first."""
+    lower = lambda a, b: np.where(values[b] < values[a], b, a)
+    width, best = 1, np.arange(len(values))
+    while width * 2 <= span:
+        best = lower(best[:-width], best[width:])
+        width *= 2
+    return lower(best[:len(best) - (span - width)], best[span - width:]) if width < span else best
+
+
 def _scan_anchors(size: int, seed: int):
     """Runs of windows that share an anchor; windows that repeat within a text only once."""
     span = size - seed + 1
@@ -114,14 +125,7 @@ def _scan_anchors(size: int, seed: int):
             if not len(at):
                 continue
             seeds, _ = words.grams(seed)
-            low = (seeds & ~np.uint64(0xFFFFFF)) | np.arange(len(seeds), dtype=np.uint64)  # leftmost of the smallest
-            width, have = 1, low
-            while width * 2 <= span:
-                have = np.minimum(have[:-width], have[width:])
-                width *= 2
-            if width < span:
-                have = np.minimum(have[:len(have) - (span - width)], have[span - width:])
-            anchor = (have[at] & np.uint64(0xFFFFFF)).astype(np.int64)
+            anchor = _leftmost_smallest(seeds, span)[at]
             doc = words.text_of[at]
             new = np.ones(len(at), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])

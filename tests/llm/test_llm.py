@@ -358,6 +358,18 @@ def test_substring_dedup_odd_rows(spark, docs, odd_docs):
     assert substring_dedup.substring_dedup(spark, empty(docs)).count() == 0
 
 
+def test_anchors_of_any_place(spark):
+    """Leftmost smallest values against a plain search, with ties, and beyond place 2 ** 24."""
+    rng = np.random.default_rng(8)
+    for top in (3, 2 ** 63):
+        values = rng.integers(0, top, 300).astype(np.uint64)
+        for span in (1, 2, 3, 8, 15):
+            assert substring_dedup._leftmost_smallest(values, span).tolist() == [i + int(np.argmin(values[i:i + span])) for i in range(len(values) - span + 1)]
+    values = np.full(2 ** 24 + 40, 9, np.uint64)
+    values[2 ** 24 + 20] = 8
+    assert substring_dedup._leftmost_smallest(values, 15)[2 ** 24 + 4:2 ** 24 + 22].tolist() == [2 ** 24 + 4, 2 ** 24 + 5] + [2 ** 24 + 20] * 15 + [2 ** 24 + 21]
+
+
 # ---- 9 lines
 
 def test_line_dedup_keeps_one_line_of_each_component(spark, docs, odd_docs):
