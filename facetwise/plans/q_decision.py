@@ -176,9 +176,9 @@ def decision_bands(spark, d):
 
 @register("decision_matrix_filter", S.with_ctes(f"""SELECT {COH}, confidence, stock_pcs, sales_pct, opportunity, opportunity_rank,
     recommendation_score FROM dm_opp WHERE coalesce(confidence, 0) >= 60 AND coalesce(confidence, 0) < 80
-    AND coalesce(stock_pcs, 0) < 50 AND coalesce(sales_pct, 0.0) > 100 AND shape = 'ROUND' AND contains(lower(shape || ' ' || size_range), 'round 1.')""", "dm_opp"))
+    AND coalesce(stock_pcs, 0) < 50 AND coalesce(sales_pct, 0.0) > 100""", "dm_opp"))
 def decision_matrix_filter(spark, d):
-    """Confidence band Medium, stock < 50, sales > 100%, one shape, text across shape and size."""
+    """Confidence band Medium, stock < 50, sales > 100%, of all shapes and sizes."""
     df = DM.opportunity(dm_df(spark, d))
-    return DM.matrix_filter(df, confidence="Medium", stock="Low", sales="High (100%+)", shape="ROUND", search="Round 1.").select(
+    return DM.matrix_filter(df, confidence="Medium", stock="Low", sales="High (100%+)").select(
         *dims.COHORT_KEYS, "confidence", "stock_pcs", "sales_pct", "opportunity", "opportunity_rank", "recommendation_score")
