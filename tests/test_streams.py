@@ -81,6 +81,21 @@ def test_alert_stream_equals_alert_diff_after_a_restart(spark, tmp_path, name):
     assert sorted((r["pair_id"], r["alert_type"]) for r in late.collect()) == [("m1|i1", "NEW_MATCH"), ("m8|i8", "NEW_MATCH")]
 
 
+def test_pairs_of_one_bucket_share_a_state_and_are_forgotten_one_by_one(spark, tmp_path, name):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", alerts.ROCKS)
+    src = f"{tmp_path}/pairs"
+    held = []
+    for at, rows in ((datetime(2026, 1, 1), [(f"m{n}", f"i{n}", float(n), "BUY") for n in range(40)]), (datetime(2026, 2, 1), [("m1", "i1", 2.0, "BUY")]),
+                     (datetime(2026, 4, 20), [("m1", "i1", 2.0, "HOLD")]), (datetime(2026, 4, 21), [("m1", "i1", 2.0, "HOLD"), ("m3", "i3", 3.0, "BUY")])):
+        pairs_of(spark, rows, at).write.mode("append").parquet(src)
+        q = streams.run_available(spark, alerts.pair_alert_stream(spark, src, keep_days=90, buckets=1), name)
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    found = [(r["pair_id"], r["alert_type"], r["recorded_at"].day) for r in streams.appended(spark, name).where("recorded_at > '2026-01-01'").collect()]
+    # on 20 April the pairs of January are forgotten, the one seen in February is not
+    assert sorted(found) == [("m1|i1", "HOLD_ALERT", 20), ("m1|i1", "PRICE_CHANGE", 1), ("m3|i3", "NEW_MATCH", 21)]
+    assert max(held) < 40  # 40 pairs, one state
+
+
 def test_sync_marks(spark):
     t = [datetime(2026, 1, 1), datetime(2026, 1, 2)]
     sync = lambda rows, at: spark.createDataFrame(rows, "market_stone_id string, stone_id string, price double").withColumns({"matched_at": F.lit(at), "updated_at": F.lit(at)})
