@@ -1,7 +1,9 @@
 """Uploaded text files: numbering, headers, roles, unions and what is reported."""
 import pytest
+from pyspark.sql import functions as F
 
 from facetwise.functions import dims
+from facetwise.plans import exports
 from facetwise.sources import uploads
 from facetwise.sources.ingest import detect_role, normalize_headers, resolve_listing, resolve_sales, sequential_index
 
@@ -84,3 +86,22 @@ def test_sales_take_the_first_candidate_with_a_value(spark):
     df = spark.createDataFrame([("1", "5", ""), ("2", None, "7"), ("3", "", None)], "`invoice no` string, `final amt` string, amount string")
     rows = resolve_sales(df).select("invoice", "amount").collect()
     assert [(r["invoice"], r["amount"]) for r in rows] == [("1", 5.0), ("2", 7.0), ("3", None)]
+
+
+def test_a_file_in_parts_is_numbered_as_one(spark, tmp_path, monkeypatch):
+    """An export is written by several tasks, and its parts are one file with one header."""
+    rows = [("a", 0, "t"), ("a", 1, "shape,color")] + [("a", 1000, f"RD,{i:04d}") for i in range(3000)] + [("b", 0, "invoice no,shape,color"), ("b", 1000, "1,RD,D")]
+    monkeypatch.setattr(exports, "exports", lambda s, d: s.createDataFrame(rows, "export string, ord int, value string").repartition(4))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = exports.written_exports(spark, "")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = [r[0] for r in spark.read.text(f"{folder}/export=a").select(F.col("_metadata.file_name")).distinct().collect()]
+    assert len(parts) > 1
+    lines = uploads.numbered_lines(spark, folder, exports.export_of)
+    got = [r["value"] for r in lines.where("endswith(file, '=a')").orderBy("line_no").collect()]
+    assert got == [v for e, _, v in rows if e == "a"] and lines.agg(F.max("line_no")).first()[0] == 3001
+    files = {r["name"]: (r["header_line"], r["role"], r["lines"]) for r in uploads.describe(lines, exports.export_name).collect()}
+    assert files["a"][0] == 1 and files["a"][2] == 3000 and files["b"] == (0, "sales", 1)
