@@ -29,11 +29,9 @@ def _r(c: Column, n: int = 2) -> Column:
 def stone_sell_through(selling: DataFrame, sales_cohorts: DataFrame, ev_rates: DataFrame | None = None) -> DataFrame:
     s = selling.withColumn("size_range", size_range(F.col("carat"))).where(F.col("size_range").isNotNull())
     stock = s.groupBy(*COHORT).agg(F.count(F.lit(1)).alias("cohort_stock"))
-    j = s.join(stock, COHORT, "left").join(sales_cohorts, COHORT, "left")
-    if ev_rates is not None:
-        j = j.join(ev_rates, COHORT, "left")
-    else:
-        j = j.withColumn("ev_rate", F.lit(None).cast("double"))
+    cohorts = stock.join(sales_cohorts, COHORT, "left")
+    cohorts = cohorts.join(ev_rates, COHORT, "left") if ev_rates is not None else cohorts.withColumn("ev_rate", F.lit(None).cast("double"))
+    j = s.join(F.broadcast(cohorts), COHORT, "left")  # a row per size range, shape and grades: stones stay where they are
     stock_n = F.col("cohort_stock")
     sold = F.coalesce(F.col("sold_stones"), F.lit(0)).cast("long")
     carat = F.coalesce(F.col("carat"), F.lit(0.0))

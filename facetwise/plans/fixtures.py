@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from facetwise.functions.exprs import rnd
 from facetwise.plans import base
 from facetwise.plans import sqlparts as S
-from facetwise.sources import feeds
 
 EV_KEYS = ["shape", "carat", "color", "clarity"]
 
@@ -26,13 +25,12 @@ def evidence(spark, d) -> DataFrame:
 
 
 def build_evidence(spark, d) -> DataFrame:
-    from facetwise.operators.sales import dedupe_sales
     m = base.market(spark, d).where((F.col("price") > 0) & (F.col("carat") > 0))
     for k in EV_KEYS:
         m = m.where(F.col(k).isNotNull())
     mk = m.groupBy(*EV_KEYS).agg(rnd(F.avg(F.col("price") / F.col("carat")), 2).alias("Stock_Metric"))
     inv = base.inventory(spark, d).groupBy(*EV_KEYS).agg(F.count(F.lit(1)).alias("EV_Stock"))
-    sl = dedupe_sales(base.sales(spark, d), feeds.SALES_ORDER).withColumn("carat", rnd(F.col("carat"), 2))
+    sl = base.sales_last(spark, d).withColumn("carat", rnd(F.col("carat"), 2))
     sold = sl.groupBy(*EV_KEYS).agg(F.count(F.lit(1)).alias("EV_Sold"))
     ev = mk.join(inv, EV_KEYS, "left").join(sold, EV_KEYS, "left")
     stock, sold_n = F.coalesce(F.col("EV_Stock"), F.lit(0)), F.coalesce(F.col("EV_Sold"), F.lit(0))

@@ -44,7 +44,7 @@ S.add("stock_sales", ["stock_coh", "sales_coh"], f"""SELECT {', '.join(f'coalesc
 
 
 def sales_deduped(spark, d):
-    return SA.dedupe_sales(base.sales(spark, d), feeds.SALES_ORDER)
+    return base.sales_last(spark, d)
 
 
 def sales_cohorts_df(spark, d):
