@@ -39,7 +39,7 @@ def inv_cells(spark, d):
 def comparables(spark, d):
     m = MX.binned(live_status_filter(base.market(spark, d), "market"))
     i = MX.binned(live_status_filter(base.inventory(spark, d), "inventory"))
-    return matching.profile_comparables(m, i, feeds.LISTING_ORDER)
+    return MX.last_listings(matching.comparable_listings(m, i), feeds.LISTING_ORDER)
 
 
 def cmp_cells(spark, d):
@@ -133,7 +133,7 @@ def build_cells(spark, d, filters=None, by_shape=False):
     stock = MX.stock_cells(shape_filter(base.matched(spark, d), filters.get("shape")))
     cohorts = sales_cohorts(sales)
     live_m, live_i = (MX.binned(live_status_filter(df, side)) for df, side in ((market, "market"), (inventory, "inventory")))
-    comparable = matching.profile_comparables(shaped(live_m), live_i, feeds.LISTING_ORDER)
+    comparable = MX.last_listings(shaped(matching.comparable_listings(live_m, live_i)), feeds.LISTING_ORDER)
     shapes = None
     if by_shape:
         named = [df.select("shape") for df in (market, inventory, sales)]

@@ -4,8 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetwise.functions import dims
+from facetwise.functions import stats as ST
+from facetwise.operators import matching
+from facetwise.operators import matrix as MX
 from facetwise.operators import sellthrough
 from facetwise.plans import base, q_sales
+from facetwise.sources import feeds
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -32,6 +36,27 @@ def listings(spark, rows):
     return df.select("*", *none, F.lit("ON HAND").alias("status"), F.lit("?").alias("remark"))
 
 
+def test_cells_shuffle_no_column_they_do_not_read(static):
+    df = listings(static, [("a", 1.0, 10.0, 1), ("a", 1.0, 20.0, 2), ("b", 1.0, 30.0, 3)])
+    cells = MX.live_market_cells(MX.with_shapes(df), feeds.LISTING_ORDER)
+    assert "remark" not in plan(cells) and "src_part" in plan(cells)
+    assert sorted((r[MX.SHAPES], r["pieces"], r["market_ppc"]) for r in cells.collect()) == [("ALL", 2, 20.0), ("X", 2, 20.0)]
+
+
+def test_last_row_is_held_once(static):
+    df = static.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", None, "c"), (None, 1, "d")], "k string, seq int, v string")
+    last = ST.keep_last(df, ["k"], ["seq"])
+    assert "max_by" not in plan(last)
+    assert sorted(map(tuple, last.collect()), key=str) == [("k", 2, "b"), (None, 1, "d")]
+
+
+def test_quantile_counts_are_shuffled_once(static):
+    rows = static.range(300).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    found = ST.nearest_rank_by_key(rows, ["k"], "v", 0.1, "q")
+    assert "ReusedExchange" in plan(found)
+    assert sorted(map(tuple, found.collect())) == [(0, 30.0), (1, 31.0), (2, 32.0)]
+
+
 def test_sales_are_deduplicated_once(spark, monkeypatch, tmp_path):
     calls = []
 
