@@ -105,9 +105,10 @@ def alert_diff(new: DataFrame, old: DataFrame) -> DataFrame:
 def sync_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """One sync of pairs into those known: the new metrics win, the time of the first
     match stays, ``updated_at`` tells when a pair was last seen."""
-    first = old.select(*PAIR_KEY, F.col("matched_at").alias("_first"))
-    seen = new.join(first, PAIR_KEY, "left").withColumn("matched_at", F.coalesce("_first", "matched_at")).drop("_first")
-    return old.join(new.select(*PAIR_KEY), PAIR_KEY, "left_anti").unionByName(seen)
+    rest = [c for c in new.columns if c not in PAIR_KEY]
+    o, n = [side.select(*PAIR_KEY, F.struct(*rest).alias(name)) for side, name in ((old, "_old"), (new, "_new"))]
+    value = lambda c: F.coalesce(f"_old.{c}", f"_new.{c}") if c == "matched_at" else F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}"))
+    return o.join(n, PAIR_KEY, "full").select(*PAIR_KEY, *[value(c).alias(c) for c in rest]).select(*new.columns)
 
 
 def sync_mark(pairs: DataFrame, sync_at: Column) -> DataFrame:

@@ -1,5 +1,5 @@
 """(legacy) pair family over two syncs: the current one and an earlier one with other
-own prices and fewer listings. Both are priced once and read back as snapshots."""
+own prices and fewer listings. Both are matched in one pass, priced once and read back from a snapshot."""
 from __future__ import annotations
 
 import uuid
@@ -24,26 +24,30 @@ MK = S.MK
 T0, T1 = "2026-01-01 00:00:00", "2026-01-01 12:00:00"
 
 
-def build_pairs(spark, d, sync: str):
-    """Priced pairs of a sync. The earlier one lacks every fifth line of the inventory and
+def build_pairs(spark, d):
+    """Priced pairs of both syncs. The earlier one lacks every fifth line of the inventory and
     every fourth of the market (so the last listing of some keys was another one) and has
     own prices that include the tax."""
-    inv = matching.dedupe_listings(base.inventory(spark, d), feeds.LISTING_ORDER)
-    market = base.market(spark, d)
-    if sync == "old":
-        market = market.where(F.col("src_line") % 4 != 0)
-    p = matching.pair_match_last(inv, market, feeds.LISTING_ORDER)
-    if sync == "old":
-        p = p.where(F.col("src_line") % 5 != 0).withColumn("price", rnd(F.col("price") * (F.lit(1.0) + F.col("src_tax"))))
-    return PR.pair_pricing(p.withColumn("pair_id", PR.pair_id()))
+    inv = base.inventory(spark, d).select("stone_id", *dims.MATCH_KEYS, "src_line", *feeds.LISTING_ORDER)
+    inv = matching.dedupe_listings(inv, feeds.LISTING_ORDER)
+    held = {"new": F.lit(True), "old": F.col("src_line") % 4 != 0}
+    p = matching.pair_match_last(inv, base.market(spark, d), feeds.LISTING_ORDER, held)
+    old = F.col("sync") == "old"
+    p = p.where(~old | (F.col("src_line") % 5 != 0))
+    p = p.withColumn("price", F.when(old, rnd(F.col("price") * (F.lit(1.0) + F.col("src_tax")))).otherwise(F.col("price")))
+    return PR.pair_pricing(p.withColumn("pair_id", PR.pair_id())).select("sync", *PRICED_COLS, *PAIR_GRADES)
+
+
+def sync_pairs(spark, d, sync: str):
+    return snapshot(spark, d, "pairs", build_pairs).where(F.col("sync") == sync).drop("sync")
 
 
 def new_pairs(spark, d):
-    return snapshot(spark, d, "pairs_new", lambda s, x: build_pairs(s, x, "new"))
+    return sync_pairs(spark, d, "new")
 
 
 def old_pairs(spark, d):
-    return snapshot(spark, d, "pairs_old", lambda s, x: build_pairs(s, x, "old"))
+    return sync_pairs(spark, d, "old")
 
 
 S.add("inv_last", ["inventory"], f"""SELECT * FROM (SELECT * FROM inventory
@@ -88,6 +92,7 @@ PAIR_COLS = ["pair_id", "stone_id", "market_stone_id", "shape", "carat", "color"
 PRICED_COLS = PAIR_COLS + ["spec_premium", "confidence_score", "holding_period_days", "buy_price", "max_buy_price",
                            "min_sell_price", "recommended_sell_price", "premium_sell_price", "expected_profit",
                            "profit_margin_pct", "risk_adjusted_profit", "composite_buy_score", "recommendation", "stars"]
+PAIR_GRADES = ["cut", "polish", "symmetry", "lab", "fluorescence"]
 
 
 @register("pair_match_last", S.with_ctes(f"SELECT {', '.join(PAIR_COLS)} FROM pairs_new", "pairs_new"))

@@ -1,4 +1,5 @@
 """Shapes of the plans behind the larger reports: narrow rows, one pass, one join."""
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from facetwise.functions import dims
 from facetwise.functions import stats as ST
 from facetwise.operators import matching
 from facetwise.operators import matrix as MX
+from facetwise.operators import pairs as PR
 from facetwise.operators import sellthrough
 from facetwise.plans import base, q_sales
 from facetwise.sources import feeds
@@ -57,6 +59,31 @@ def test_quantile_counts_are_shuffled_once(static):
     assert sorted(map(tuple, found.collect())) == [(0, 30.0), (1, 31.0), (2, 32.0)]
 
 
+def test_both_syncs_are_matched_in_one_join(static):
+    inv = listings(static, [("i", 1.0, 5.0, 1), ("j", 2.0, 5.0, 2)])
+    market = listings(static, [("m", 1.0, 10.0, 1), ("n", 1.0, 20.0, 4), ("o", 2.0, 30.0, 8)])
+    held = {"new": F.lit(True), "old": F.col("src_line") % 4 != 0}
+    pairs = matching.pair_match_last(inv, market, feeds.LISTING_ORDER, held)
+    assert plan(pairs).count("SortMergeJoin") == 1
+    assert sorted(map(tuple, pairs.select("sync", "stone_id", "market_stone_id", "market_price").collect())) == [
+        ("new", "i", "n", 20.0), ("new", "j", "o", 30.0), ("old", "i", "m", 10.0)]
+    one = matching.pair_match_last(inv, market, feeds.LISTING_ORDER)
+    assert "sync" not in one.columns
+    assert sorted(map(tuple, one.select("stone_id", "market_stone_id").collect())) == [("i", "n"), ("j", "o")]
+
+
+def test_a_sync_is_merged_by_one_join(static):
+    t0, t1 = datetime(2026, 1, 1), datetime(2026, 1, 2)
+    schema = "market_stone_id string, stone_id string, price double, matched_at timestamp, updated_at timestamp"
+    old = static.createDataFrame([("m", "a", 1.0, t0, t0), ("m", "b", 2.0, t0, t0), (None, "c", 3.0, t0, t0)], schema)
+    new = static.createDataFrame([("m", "a", None, t1, t1), ("m", "d", 4.0, t1, t1), (None, "c", 5.0, t1, t1)], schema)
+    merged = PR.sync_merge(old, new)
+    assert plan(merged).count("SortMergeJoin") == 1
+    assert merged.columns == new.columns
+    assert sorted(map(tuple, merged.collect()), key=str) == sorted([
+        ("m", "a", None, t0, t1), ("m", "b", 2.0, t0, t0), ("m", "d", 4.0, t1, t1), (None, "c", 3.0, t0, t0), (None, "c", 5.0, t1, t1)], key=str)
+
+
 def test_sales_are_deduplicated_once(spark, monkeypatch, tmp_path):
     calls = []
 
