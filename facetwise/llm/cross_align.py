@@ -1,14 +1,14 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Both tokenizers encode a text; both sides' tokens, joined, must give the text with a blank
-before it. Per batch, keyed by document, ``pandas.merge_asof`` finds for each token start
-the covering token of the other side; the union of both directions are the overlaps, and
-overlaps with equal ends cut the tokens into groups. All pairs of an A and a B token of one
-group are linked.
+before it. Per batch, keyed by document (places run on from one document to the next),
+``pandas.merge_asof`` finds for each token start the covering token of the other side; the
+union of both directions are the overlaps, and overlaps with equal ends cut the tokens into
+groups. All pairs of an A and a B token of one group are linked.
 
 A text is cut before blanks that neither tokenizer's tokens can span (a blank behind
 something other than a blank or ``▁``, before something other than white space), and each
-distinct cut is encoded by the libraries once per worker (a bounded table).
+distinct cut is encoded by the libraries once per worker (a bounded table), many in a call.
 
 Links are never listed one by one: a group's distinct ids and their numbers give distinct
 id pairs and how often they are linked, a document holds each pair once, and a block of
@@ -24,13 +24,15 @@ count all are highest. An empty table gives an empty one; extra columns are igno
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +42,12 @@ from facetwise.llm.tables import id_and_text, written
 from facetwise.llm.word_cache import worker_cache, worker_value
 
 BLOCK_BYTES = 8 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 2 << 20
 CACHE_CUTS = 150_000
 PAIRS_AT_ONCE = 4_000_000
 LONG_CUT = 64
+CUTS_AT_ONCE = 2000
+CUTS_JOINED = 50
 
 _IRREGULAR = re.compile(r" [\s▁]|▁ |^ | $")
 _CUT = re.compile(r"(?<=[^ ▁]) (?=[^\s▁])")
@@ -54,6 +58,33 @@ def cuts(text: str) -> list[str]:
     return _CUT.split(text) if _IRREGULAR.search(text) else text.split(" ")
 
 
+def distinct_cuts(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct cuts, which of them each cut is, its text's number) of all texts in a row.
+    Texts that are cut at every blank are split and told apart as one Arrow column."""
+    plain, odd = [], []
+    for i, t in enumerate(texts):
+        if t:
+            (odd if _IRREGULAR.search(t) else plain).append(i)
+    parts, sizes = [], []
+    if plain:
+        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        parts.append(split.flatten())
+        sizes.append(pc.list_value_length(split).to_numpy())
+    if odd:
+        split = [_CUT.split(texts[i]) for i in odd]
+        parts.append(pa.array(chain.from_iterable(split), pa.large_string()))
+        sizes.append(np.array(list(map(len, split)), np.int64))
+    if not parts:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    place = coded.indices.to_numpy().astype(np.int64)
+    text_of = np.repeat(np.array(plain + odd), np.concatenate(sizes))
+    if plain and odd:
+        order = np.argsort(text_of, kind="stable")
+        place, text_of = place[order], text_of[order]
+    return coded.dictionary.to_pylist(), place, text_of
+
+
 def byte_letters() -> dict[str, int]:
     """The byte of each letter of byte-level vocabularies: printable bytes stand for
     themselves, the others take the letters from 256 on, in order."""
@@ -66,6 +97,7 @@ class Sides:
     """Both tokenizers: ids of cuts, bytes of ids, and texts of ids with what follows."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each of the machine's
         import sentencepiece
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(a_path)
@@ -83,31 +115,56 @@ class Sides:
         self.texts = [f"{i}{s}" for top, signs in ((n, ",|"), (m, ",;")) for s in signs for i in range(top)]
         self.a_in, self.a_last, self.b_in, self.b_last = 0, n, 2 * n, 2 * n + m  # where the texts of each kind start
 
-    def encoded(self, new: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes, bool]]]:
-        """(cut, (A ids, B ids, whether both sides give its bytes)) of distinct cuts."""
+    def encoded(self, new: list[str]) -> Iterator[tuple[list[str], Iterator[tuple[bytes, bytes, bool]]]]:
+        """(cuts, (A ids, B ids, whether both sides give its bytes) of each), some distinct
+        cuts at a time."""
+        for at in range(0, len(new), CUTS_AT_ONCE):
+            some = new[at:at + CUTS_AT_ONCE]
+            yield some, self._joined(some) or self._single(some)
+
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        for at in range(0, len(new), 2000):
-            some = new[at:at + 2000]
-            marked = [" " + c for c in some]
-            ids = [e.ids for e in encode(marked, add_special_tokens=False)], self.b.encode(some, num_threads=1)
-            if "" in some:  # the library gives no token for an empty text; it is a lone blank here
-                ids[1][some.index("")] = [self.b.piece_to_id("▁")]
-            raw = [m.encode() for m in marked]
-            sides = [_side(x, raw, names, size) for x, names, size in zip(ids, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size))]
-            yield from zip(some, zip(sides[0][0], sides[1][0], (sides[0][1] & sides[1][1]).tolist()))
+        return [e.ids for e in encode([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+
+    def _joined(self, some: list[str]):
+        """Both sides of cuts that are encoded with the blanks at which texts are cut between
+        them, as a call costs more than a cut; None if a side does not give all bytes back."""
+        parts = []
+        for i in range(0, len(some), CUTS_JOINED):
+            joined = " ".join(some[i:i + CUTS_JOINED])
+            parts += some[i:i + CUTS_JOINED] if _IRREGULAR.search(joined) else [joined]
+        raw = [" " + c for c in some]
+        whole = "".join(raw).encode()
+        wanted = np.cumsum([len(r) if r.isascii() else len(r.encode()) for r in raw])
+        out = []
+        for ids, names, size in zip(self._ids(parts), (self.a_bytes, self.b_bytes), (self.a_size, self.b_size)):
+            flat = np.fromiter(chain.from_iterable(ids), "<u4")
+            ends = np.cumsum(size[flat])
+            last = np.searchsorted(ends, wanted)
+            if not len(ends) or ends[-1] != wanted[-1] or (ends[last] != wanted).any() or b"".join(map(names.__getitem__, flat.tolist())) != whole:
+                return None
+            packed, until = flat.tobytes(), ((last + 1) * 4).tolist()
+            out.append([packed[a:b] for a, b in zip([0, *until[:-1]], until)])
+        return zip(out[0], out[1], repeat(True))
+
+    def _single(self, some: list[str]):
+        """Both sides of cuts that are encoded one by one."""
+        ids = self._ids(some)
+        if "" in some:  # the library gives no token for an empty text; it is a lone blank here
+            ids[1][some.index("")] = [self.b.piece_to_id("▁")]
+        raw = [(" " + c).encode() for c in some]
+        sides = [_side(x, raw, names, size) for x, names, size in zip(ids, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size))]
+        return zip(sides[0][0], sides[1][0], (sides[0][1] & sides[1][1]).tolist())
 
     def encode(self, texts: list[str], cache) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A ids, their numbers in each text, B ids, their numbers); texts without tokens
         have none."""
-        split = [cuts(t) if t else [] for t in texts]
-        index = {c: i for i, c in enumerate({c for cs in split for c in cs})}
-        new = cache.missing(index)
+        names, place, text_of = distinct_cuts(texts)
+        new = cache.missing(names)
         young = cache.young
-        young.update(self.encoded(new))
-        found = list(map(young.__getitem__, index))
-        size = np.array(list(map(len, split)), np.int64)
-        place = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
-        text_of = np.repeat(np.arange(len(texts)), size)
+        for some, sides in self.encoded(new):
+            young.update(zip(some, sides))
+        found = list(map(young.__getitem__, names))
         odd = np.array([not f[2] for f in found], bool)
         spoilt = np.zeros(len(texts), bool)
         spoilt[text_of[odd[place]]] = True
@@ -138,12 +195,13 @@ def _side(ids: list[list[int]], raw: list[bytes], names: list[bytes], size: np.n
     return cut, same
 
 
-def groups(a_end: np.ndarray, a_doc: np.ndarray, a_size: np.ndarray, b_end: np.ndarray, b_doc: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The group number of each token of both sides, from ends and sizes in bytes."""
-    a = pd.DataFrame({"doc": a_doc, "start": a_end - a_size, "a": np.arange(len(a_end))})
-    b = pd.DataFrame({"doc": b_doc, "start": b_end - b_size, "b": np.arange(len(b_end))})
-    covering_b = pd.merge_asof(a, b, on="start", by="doc")
-    covering_a = pd.merge_asof(b, a, on="start", by="doc")
+def groups(a_end: np.ndarray, a_size: np.ndarray, b_end: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group number of each token of both sides, from ends and sizes in bytes. Ends run
+    on over the documents, so a place names its document too."""
+    a = pd.DataFrame({"start": a_end - a_size, "a": np.arange(len(a_end))})
+    b = pd.DataFrame({"start": b_end - b_size, "b": np.arange(len(b_end))})
+    covering_b = pd.merge_asof(a, b, on="start")
+    covering_a = pd.merge_asof(b, a, on="start")
     left = np.concatenate([covering_b["a"].to_numpy(), covering_a["a"].to_numpy()])
     right = np.concatenate([covering_b["b"].to_numpy(), covering_a["b"].to_numpy()])
     equal = a_end[left] == b_end[right]
@@ -200,9 +258,9 @@ def _batch(sides: Sides, cache, texts: list[str], first_doc: int, keep: bool):
     linked pairs with documents numbered from ``first_doc``."""
     a, n_a, b, n_b = sides.encode(texts, cache)
     docs = np.arange(len(texts))
-    a_doc, b_doc = np.repeat(docs, n_a), np.repeat(docs, n_b)
+    a_doc = np.repeat(docs, n_a)
     a_size, b_size = sides.a_size[a], sides.b_size[b]
-    ga, gb = groups(np.cumsum(a_size), a_doc, a_size, np.cumsum(b_size), b_doc, b_size)
+    ga, gb = groups(np.cumsum(a_size), a_size, np.cumsum(b_size), b_size)
     n = int(ga[-1]) + 1 if len(ga) else 0
     first_a, first_b = np.searchsorted(ga, np.arange(n + 1)), np.searchsorted(gb, np.arange(n + 1))
     doc_of = a_doc[first_a[:-1]]

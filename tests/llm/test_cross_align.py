@@ -60,6 +60,21 @@ def test_cuts_are_encoded_as_in_the_whole_text(sides):
     assert kept > 6000
 
 
+def test_cuts_are_encoded_together(sides, monkeypatch):
+    """Many cuts a call, on the task's own core; cuts that no blank may join go one by one."""
+    texts = [f"word{i} don't, naïve-{i} 日本{i}" for i in range(900)]
+    calls, own = [], sides._ids
+    monkeypatch.setattr(sides, "_ids", lambda some: calls.append(len(some)) or own(some))
+    for some in (texts, [*texts, "", "\n x", "a ▁b", " y"]):
+        calls.clear()
+        a, n_a, b, n_b = sides.encode(some, WordCache(10))
+        at, bt = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
+        for k, t in enumerate(some):
+            assert (a[at[k]:at[k + 1]].tolist(), b[bt[k]:bt[k + 1]].tolist()) == whole(sides, t), repr(t)
+        assert len(some) > len(texts) or sum(calls) < 100
+    assert C.os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def expected(sides, rows):
     found = [(i, *brute(sides, t)) for i, t in rows]
     held = Counter(p for _, _, _, gs in found for p in {(x, y) for ga, gb in gs for x in ga for y in gb})
