@@ -372,6 +372,19 @@ def test_anchors_of_any_place(spark):
 
 # ---- 9 lines
 
+def test_bands_are_shuffled_once(spark, monkeypatch):
+    """The bands of all lines and those that lines share come from one exchange."""
+    plans, write = {}, line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda s, df, what: plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString()) and write(s, df, what))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = spark.createDataFrame([(i, f"some line with words {i // 2} {i % 2}") for i in range(20)], "node long, line string")
+        line_dedup.line_components(spark, lines, rounds=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plans["line-cells"]
+
+
 def test_line_dedup_keeps_one_line_of_each_component(spark, docs, odd_docs):
     near = " ".join(f"word{i}" for i in range(40))
     frame = both(docs, odd_docs).unionByName(spark.createDataFrame([(400000, near), (400001, f"alone here now\n{near}x"), (None, f"{near}y")], "doc_id bigint, text string"))
