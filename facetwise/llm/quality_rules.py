@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetwise.llm import textkit as K
+from facetwise.llm.word_cache import release
 
 TRAIN_DOCS = 600
 CONTENT_SHARE = 0.5
@@ -196,6 +197,7 @@ class LineField:
 
 
 def _line_features(batches):
+    release()
     for rows, texts in K.slices(batches):
         lines = Lines(texts)
         x, f = lines.features(), lines.first_line
@@ -215,6 +217,7 @@ def train_field(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS) ->
 
 def _judge(field, share: float):
     def run(batches):
+        release()
         emit, move = field.value
         crf = LineField(emit, move)
         for rows, texts in K.slices(batches):

@@ -44,3 +44,11 @@ def worker_value(key, make):
     if key not in values:
         values[key] = make()
     return values[key]
+
+
+def release() -> None:
+    """Lets go of all caches and values of this worker process, for operators that use none:
+    Spark hands a worker on to the tasks of later stages, which share its memory."""
+    state = sys.modules.get("_llm_worker_state")
+    if state is not None:
+        state.__dict__.update(caches={}, values={})

@@ -1,6 +1,7 @@
 """Operators of facetwise.llm against brute-force versions, round trips and held-out accuracy."""
 import hashlib
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from facetwise.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec, quality_rules, secret_scan, sharding, substring_dedup, token_output
+from facetwise.llm import decontaminate, language_id, line_dedup, ngram_join, piece_codec, quality_rules, secret_scan, sharding, substring_dedup, token_output, word_cache
 from facetwise.llm import textkit as K
 from facetwise.llm.queries import TOKENIZERS
 from facetwise.llm.tables import components
@@ -385,6 +386,16 @@ def test_bands_are_shuffled_once(spark, monkeypatch):
     assert "ReusedExchange" in plans["line-cells"]
 
 
+def test_quality_rules_let_go_of_other_tables():
+    """A worker that comes from another operator's stage frees its tables."""
+    for run in (quality_rules._line_features, lambda batches: quality_rules._judge(types.SimpleNamespace(value=(None, None)), 0.5)(batches)):
+        word_cache.worker_cache("words", 10).young["w"] = b"1"
+        word_cache.worker_value("model", object)
+        assert not list(run(iter([])))
+        assert not word_cache.worker_cache("words", 10).young and word_cache.worker_value("model", lambda: 5) == 5
+        word_cache.release()
+
+
 def test_line_dedup_keeps_one_line_of_each_component(spark, docs, odd_docs):
     near = " ".join(f"word{i}" for i in range(40))
     frame = both(docs, odd_docs).unionByName(spark.createDataFrame([(400000, near), (400001, f"alone here now\n{near}x"), (None, f"{near}y")], "doc_id bigint, text string"))
