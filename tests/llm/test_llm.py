@@ -386,6 +386,35 @@ def test_bands_are_shuffled_once(spark, monkeypatch):
     assert "ReusedExchange" in plans["line-cells"]
 
 
+def test_only_banded_lines_are_compared(spark, monkeypatch):
+    """Signatures of lines that share no band are not carried into the rounds."""
+    counts, write = {}, line_dedup.written
+
+    def counted(s, df, what):
+        table = write(s, df, what)
+        counts.setdefault(what, table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    alone = [(i, " ".join(f"{chr(97 + i)}{j * j}" for j in range(30))) for i in range(20)]
+    twins = [(100 + i, f"two lines that differ in their last character only, as these two do {i}") for i in range(2)]
+    found = line_dedup.line_components(spark, spark.createDataFrame(alone + twins, "node long, line string"), rounds=1)
+    assert sorted(map(tuple, found.collect())) == [(100, 100), (101, 100)]
+    assert counts["line-signatures"] == 22 and counts["line-banded"] == 2
+
+
+def test_shingle_sets_of_lines_bind_their_units_once(spark):
+    """The sets are those of the units, and no shingle's expression reads (copies) the column."""
+    lines = ["", "short", "abcdefghij" * 4, "caf\u00e9 \u4e2d\u6587 and so on", "\U0001f600" * 12 + "x"]
+    frame = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "node long, line string")
+    sets = frame.select("node", line_dedup._shingle_set("line", 10).alias("s"))
+    units = [line.encode("utf-16-be") for line in lines]
+    cut = [(i, bytearray(x)) for i, u in enumerate(units) for x in {u[a:a + 20] for a in range(0, max(len(u) - 20, 0) + 1, 2)}]
+    hashed = spark.createDataFrame(cut, "node long, u binary").groupBy("node").agg(F.collect_set(F.xxhash64("u")).alias("s"))
+    assert {r["node"]: sorted(r["s"]) for r in sets.collect()} == {r["node"]: sorted(r["s"]) for r in hashed.collect()}
+    assert "substr(lambda" in sets._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quality_rules_let_go_of_other_tables():
     """A worker that comes from another operator's stage frees its tables."""
     for run in (quality_rules._line_features, lambda batches: quality_rules._judge(types.SimpleNamespace(value=(None, None)), 0.5)(batches)):
