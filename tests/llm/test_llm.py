@@ -386,6 +386,28 @@ def test_bands_are_shuffled_once(spark, monkeypatch):
     assert "ReusedExchange" in plans["line-cells"]
 
 
+def test_lines_are_shuffled_once_for_their_signatures(spark, monkeypatch):
+    """Distinct lines are signed where they were grouped, not written and shuffled again."""
+    class Seen(Exception):
+        pass
+
+    write = line_dedup.written
+
+    def watch(s, df, what):
+        if what == "line-signatures":
+            raise Seen(df._jdf.queryExecution().executedPlan().toString())
+        return write(s, df, what)
+
+    monkeypatch.setattr(line_dedup, "written", watch)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with pytest.raises(Seen) as seen:
+            line_dedup.line_dedup(spark, spark.createDataFrame([(1, "a line of words\nanother one"), (2, "a line of words")], "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert str(seen.value).count("Exchange hashpartitioning(node") == 1
+
+
 def test_only_banded_lines_are_compared(spark, monkeypatch):
     """Signatures of lines that share no band are not carried into the rounds."""
     counts, write = {}, line_dedup.written
